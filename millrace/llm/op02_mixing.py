@@ -9,7 +9,6 @@ what they leave over is paired again in a tree with a fixed fan-in, until each s
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pandas as pd

@@ -5,6 +5,9 @@ from __future__ import annotations
 from millrace.llm.op01_sharding import op1_sharding
 from millrace.llm.op02_mixing import op2_mixing
 from millrace.llm.op03_decontaminate import op3_decontaminate
+from millrace.llm.op07_quality import op7_quality_rules
+from millrace.llm.op09_html import op9_main_text
+from millrace.llm.op10_secrets import op10_secret_scan
 
 
 def queries() -> dict:
@@ -12,6 +15,9 @@ def queries() -> dict:
         "op1_sharding": op1_sharding,
         "op2_mixing": op2_mixing,
         "op3_decontaminate": op3_decontaminate,
+        "op7_quality_rules": op7_quality_rules,
+        "op9_main_text": op9_main_text,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
