@@ -5,7 +5,9 @@ from __future__ import annotations
 from millrace.llm.op01_sharding import op1_sharding
 from millrace.llm.op02_mixing import op2_mixing
 from millrace.llm.op03_decontaminate import op3_decontaminate
+from millrace.llm.op04_suffix_dedup import op4_suffix_dedup
 from millrace.llm.op07_quality import op7_quality_rules
+from millrace.llm.op08_minhash import op8_minhash_dedup
 from millrace.llm.op09_html import op9_main_text
 from millrace.llm.op10_secrets import op10_secret_scan
 
@@ -15,7 +17,9 @@ def queries() -> dict:
         "op1_sharding": op1_sharding,
         "op2_mixing": op2_mixing,
         "op3_decontaminate": op3_decontaminate,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "op8_minhash_dedup": op8_minhash_dedup,
         "op9_main_text": op9_main_text,
         "op10_secret_scan": op10_secret_scan,
     }
