@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,20 +15,26 @@ BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 U64 = np.uint64
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared checkpoint folder and go on from there.
-
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset (local tests)
-    a temporary one is taken. The copy survives the loss of executors.
-    """
-    spark = df.sparkSession
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one named in spark.checkpoint.dir, else (tests) a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df once to the shared folder and go on from there; the copy survives the loss of executors."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder for written tables."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts holds, so that long documents don't pile up in a worker."""
     spark.conf.set(BATCH_BYTES, str(8 << 20))

@@ -87,7 +87,8 @@ def round_block(key: np.ndarray, size: np.ndarray, claim: np.ndarray, draws: np.
 
 def _rounder(level: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["unit", "size"], kind="stable").reset_index(drop=True)
+        # Large ones first: what is left over at the end is then mostly a small one.
+        pdf = pdf.sort_values(["weight", "unit"], ascending=[False, True], kind="stable").reset_index(drop=True)
         key = pdf["unit"].to_numpy(np.int64)
         draws = unit(splitmix(key.astype(np.uint64) ^ splitmix(np.uint64(SEED + level))))
         pdf["claim"] = round_block(key, pdf["weight"].to_numpy(np.int64), pdf["claim"].to_numpy(), draws, bool(pdf["blocks"].iat[0] <= 1))
