@@ -10,7 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("millrace.operators.stats",)
+_MODULES = tuple(
+    f"millrace.{m}" for m in ("operators.stats", "operators.labels", "operators.sched", "operators.dataflow", "operators.pixels", "operators.formats", "operators.search", "sources.queries", "streaming.streams")
+)
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:

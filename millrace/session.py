@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +34,14 @@ def local_session(cores: int | str = 8, app: str = "millrace", **conf: str) -> S
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the bundled tables; column pruning and filters reach the Parquet scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path for written tables in the folder that driver and executors share.
+
+    It is the one the cluster names in spark.checkpoint.dir; only where that is unset (local tests) a temporary one.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-checkpoints-"))
+    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
