@@ -13,7 +13,7 @@ SIZE_UNITS = ("bytes", "KB", "MB", "GB", "TB")
 
 
 def _one(x: Column, unit: str) -> Column:
-    return F.concat(F.lpad(F.format_string("%.1f", x), 4, " "), F.lit(f" {unit}"))
+    return F.format_string(f"%4.1f {unit}", x)
 
 
 def format_seconds(c: Column) -> Column:

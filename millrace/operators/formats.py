@@ -13,8 +13,8 @@ from millrace.session import table
 
 @query(
     "format_seconds",
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'infinite' WHEN s = 0 THEN '0 s' WHEN s < 1e-6 THEN lpad(printf('%.1f', s * 1e9), 4, ' ') || ' ns'
-         WHEN s < 1e-3 THEN lpad(printf('%.1f', s * 1e6), 4, ' ') || ' us' WHEN s < 1 THEN lpad(printf('%.1f', s * 1e3), 4, ' ') || ' ms' ELSE lpad(printf('%.1f', s), 4, ' ') || ' s' END AS said
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'infinite' WHEN s = 0 THEN '0 s' WHEN s < 1e-6 THEN printf('%4.1f', s * 1e9) || ' ns'
+         WHEN s < 1e-3 THEN printf('%4.1f', s * 1e6) || ' us' WHEN s < 1 THEN printf('%4.1f', s * 1e3) || ' ms' ELSE printf('%4.1f', s) || ' s' END AS said
        FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE (o_orderkey % 89 + 1) / pow(10, o_orderkey % 10) END AS s FROM orders)""",
 )
 def q_format_seconds(spark, sf_dir):

@@ -44,12 +44,22 @@ def _frame_query(name: str, oracle: str):
     return add
 
 
-W, H, D = F.col("width"), F.col("height"), F.col("data")
+def W():
+    return F.col("width")
+
+
+def H():
+    return F.col("height")
+
+
+def D():
+    return F.col("data")
+
 
 
 @_frame_query("gradient_image", "SELECT * FROM g")
 def q_gradient(f):
-    return pixels(f, D, W)
+    return pixels(f, D(), W())
 
 
 def _conv_sql(kernel, weight):
@@ -63,17 +73,17 @@ def _conv_sql(kernel, weight):
 
 @_frame_query("conv3x3_sharpen", _conv_sql(px.SHARPEN, 1))
 def q_sharpen(f):
-    return pixels(f, px.convolve(D, W, H, px.SHARPEN, 1), W)
+    return pixels(f, px.convolve(D(), W(), H(), px.SHARPEN, 1), W())
 
 
 @_frame_query("conv3x3_blur", _conv_sql(px.BLUR, 9))
 def q_blur(f):
-    return pixels(f, px.convolve(D, W, H, px.BLUR, 9), W)
+    return pixels(f, px.convolve(D(), W(), H(), px.BLUR, 9), W())
 
 
 @_frame_query("box_downscale", "SELECT frameno, y // 2 AS y, x // 2 AS x, band, CAST((sum(v) + 2) // 4 AS INT) AS v FROM g GROUP BY frameno, y // 2, x // 2, band")
 def q_box(f):
-    return pixels(f, px.box_down(D, W, H, 2), F.lit(WIDTH // 2))
+    return pixels(f, px.box_down(D(), W(), H(), 2), F.lit(WIDTH // 2))
 
 
 @_frame_query(
@@ -86,17 +96,17 @@ def q_box(f):
          AND e.frameno = a.frameno AND e.band = a.band AND e.x = least(a.x + 1, {WIDTH - 1}) AND e.y = least(a.y + 1, {HEIGHT - 1})""",
 )
 def q_bilinear(f):
-    return pixels(f, px.bilinear_up(D, W, H, 2), F.lit(WIDTH * 2))
+    return pixels(f, px.bilinear_up(D(), W(), H(), 2), F.lit(WIDTH * 2))
 
 
 @_frame_query("nearest_scale", f"SELECT frameno, ty::INT AS y, tx::INT AS x, band, v FROM g, range(18) p(ty), range(40) q(tx) WHERE y = ty * {HEIGHT} // 18 AND x = tx * {WIDTH} // 40")
 def q_nearest(f):
-    return pixels(f, px.nearest(D, W, H, 40, 18), F.lit(40))
+    return pixels(f, px.nearest(D(), W(), H(), 40, 18), F.lit(40))
 
 
 @_frame_query("replicate_2x2", "SELECT frameno, (y * 2 + dy)::INT AS y, (x * 2 + dx)::INT AS x, band, v FROM g, range(2) p(dy), range(2) q(dx)")
 def q_replicate(f):
-    return pixels(f, px.replicate(D, W, H, 2), W * 2)
+    return pixels(f, px.replicate(D(), W(), H(), 2), W() * 2)
 
 
 MATRIX = ((0.25, 0.5, 0.25), (1.0, -0.5, 0.0), (0.0, 0.75, 0.5))
@@ -109,42 +119,42 @@ MATRIX = ((0.25, 0.5, 0.25), (1.0, -0.5, 0.0), (0.0, 0.75, 0.5))
        WHERE a.band = 0 AND b.band = 1 AND c.band = 2""",
 )
 def q_matrix(f):
-    return pixels(f, px.colour_matrix(D, W, H, MATRIX), W)
+    return pixels(f, px.colour_matrix(D(), W(), H(), MATRIX), W())
 
 
 @_frame_query("channel_gain", "SELECT frameno, y, x, band, CAST(least(255, floor(v * CASE band WHEN 0 THEN CAST(1.5 AS DOUBLE) WHEN 1 THEN CAST(0.5 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END)) AS INT) AS v FROM g")
 def q_gain(f):
-    return pixels(f, px.channel_gain(D, (1.5, 0.5, 1.0)), W)
+    return pixels(f, px.channel_gain(D(), (1.5, 0.5, 1.0)), W())
 
 
 @_frame_query("depth_24_48_24", "SELECT frameno, y, x, band, v FROM g")
 def q_depth(f):
-    return pixels(f, px.depth_48_to_24(px.depth_24_to_48(D)), W)
+    return pixels(f, px.depth_48_to_24(px.depth_24_to_48(D())), W())
 
 
 @_frame_query("depth_reduce", "SELECT frameno, y, x, band, CAST((v * 255) // 256 AS INT) AS v FROM g")
 def q_depth_reduce(f):
-    return pixels(f, px.depth_reduce(px.depth_24_to_48(D)), W)
+    return pixels(f, px.depth_reduce(px.depth_24_to_48(D())), W())
 
 
 @_frame_query("alpha_strip", "SELECT frameno, y, x, band, v FROM g")
 def q_alpha(f):
     """Frames with an alpha sample after each pixel, stripped again."""
-    rgba = F.flatten(F.transform(F.sequence(F.lit(0), W * H - 1), lambda i: F.concat(F.slice(D, i * 3 + 1, F.lit(3)), F.array(F.lit(255)))))
-    return pixels(f, px.alpha_strip(rgba), W)
+    rgba = F.flatten(F.transform(F.sequence(F.lit(0), W() * H() - 1), lambda i: F.concat(F.slice(D(), i * 3 + 1, F.lit(3)), F.array(F.lit(255)))))
+    return pixels(f, px.alpha_strip(rgba), W())
 
 
 @_frame_query("slice_concat", "SELECT frameno, y, x, band, v FROM g")
 def q_slices(f):
     """Nine slices of rows, joined again in order."""
-    bound = lambda i: F.call_function("div", i * H, F.lit(9)).cast("int")
-    joined = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: px.slice_rows(D, W, bound(i), bound(i + 1))))
-    return pixels(f, joined, W)
+    bound = lambda i: F.call_function("div", i * H(), F.lit(9)).cast("int")
+    joined = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: px.slice_rows(D(), W(), bound(i), bound(i + 1))))
+    return pixels(f, joined, W())
 
 
 @_frame_query("image_checksum", "SELECT frameno, CAST(sum(CASE WHEN v > 127 THEN v - 256 ELSE v END) AS BIGINT) AS total FROM g GROUP BY frameno")
 def q_checksum(f):
-    return f.select("frameno", px.checksum(D).alias("total"))
+    return f.select("frameno", px.checksum(D()).alias("total"))
 
 
 @_frame_query(
@@ -159,13 +169,13 @@ def q_checksum(f):
              FROM g GROUP BY frameno, y // 2, x // 2), range(2) q(p)""",
 )
 def q_yuv(f):
-    return f.select("frameno", F.posexplode(px.to_yuv420(D, W, H)).alias("place", "v"))
+    return f.select("frameno", F.posexplode(px.to_yuv420(D(), W(), H())).alias("place", "v"))
 
 
 @query("constant_image", f"SELECT y::INT AS y, x::INT AS x, band::INT AS band, CAST(CASE band WHEN 0 THEN 10 WHEN 1 THEN 20 ELSE 255 END AS INT) AS v FROM range({HEIGHT}) a(y), range({WIDTH}) b(x), range(3) c(band)")
 def q_constant(spark, sf_dir):
     one = spark.range(1).select(F.lit(0).alias("frameno"), px.constant(WIDTH, HEIGHT, 10, 20, 255).alias("data"))
-    return pixels(one, D, F.lit(WIDTH)).drop("frameno")
+    return pixels(one, D(), F.lit(WIDTH)).drop("frameno")
 
 
 @query("gradient48_box", f"""SELECT y::INT AS y, x::INT AS x, band::INT AS band, CAST(sum(v) // 4 AS INT) AS v FROM (SELECT y // 2 AS y, x // 2 AS x, band, CASE band WHEN 0 THEN 200 * x WHEN 1 THEN 200 * y ELSE 32512 END AS v
@@ -173,7 +183,7 @@ def q_constant(spark, sf_dir):
 def q_gradient48(spark, sf_dir):
     """48-bit frames keep 16 bits a sample; the box mean truncates."""
     one = spark.range(1).select(F.lit(0).alias("frameno"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), px.gradient48(WIDTH, HEIGHT).alias("data"))
-    return pixels(one, px.box_down(D, W, H, 2, rounded=False), F.lit(WIDTH // 2)).drop("frameno")
+    return pixels(one, px.box_down(D(), W(), H(), 2, rounded=False), F.lit(WIDTH // 2)).drop("frameno")
 
 
 @query("clock_hand", "SELECT i::INT AS frame, CAST(trunc(180 + 100 * sin(2 * pi() * i / 25) + CAST(0.00001 AS DOUBLE)) AS INT) AS x, CAST(trunc(144 - 100 * cos(2 * pi() * i / 25) + CAST(0.00001 AS DOUBLE)) AS INT) AS y FROM range(30) r(i)")

@@ -84,7 +84,7 @@ def encoded(width: Column, height: Column, bits: Column, data: Column, kind: str
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """path and frame of image files by suffix (.ppm, .raw); other files have a null frame. Any store Spark reads."""
+    """path and frame of image files by suffix (.ppm, .raw); other files have a null frame, empty ones no row."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     by_suffix = F.when(F.col("path").endswith(".ppm"), decoded(F.col("content"), "ppm")).when(F.col("path").endswith(".raw"), decoded(F.col("content"), "raw"))
     return files.withColumn("frame", by_suffix).select("path", "frame.*")
