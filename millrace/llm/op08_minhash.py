@@ -3,8 +3,9 @@
 A document is the set of its five-word shingles. Documents with equal sets are one class. Each class gets a
 SuperMinHash signature: an element visits the slots in the order of a random permutation, writing step number plus a
 random fraction where that is smaller; elements stop as soon as no later step can win. Bands of the signature are
-the buckets. In each bucket all classes are first compared with one of them; classes that are still apart after
-those links are joined into components are then compared with one another. Every link is confirmed on full sets.
+the buckets. In each bucket all classes are first compared with one of them, and links are joined into components by
+union-find. Where a bucket still holds several components, its classes are compared across them, except for pairs that
+can't be alike by the rare shingles they have in common. Every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -165,6 +166,48 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def across(still: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can reach the similarity; none that does is missing.
+
+    Elements are put in one order, rarest first. Two sets that are alike enough have their first common element near
+    the front of both, so only the fronts are joined, and a pair is left out if too few elements follow. Copies that
+    went apart by edits of their own have those edits in front and don't meet. Of the components that hold an element
+    the one with most sets isn't joined with itself.
+    """
+    rows = still.join(sets, "doc_id")
+
+    def spread(batches):
+        for batch in batches:
+            elements = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+            sizes = [len(x) for x in elements]
+            ids = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("doc_id", "n_shingles", "component")]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(np.concatenate(elements))], names=["doc_id", "n", "component", "element"])
+
+    spread_rows = rows.select("doc_id", "n_shingles", "component", "shingles").mapInArrow(spread, "doc_id long, n long, component long, element long")
+    # Elements of one set only can't be common; they count as the front of their set.
+    shared = spread_rows.groupBy("element").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    front = (
+        spread_rows.join(shared, "element")
+        .groupBy("doc_id", "n", "component")
+        .agg(F.sort_array(F.collect_list(F.struct("sets", "element"))).alias("common"))
+        .withColumn("own", F.col("n") - F.size("common"))
+        .withColumn("length", F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - F.col("own"))
+        .where("length > 0")
+        .select("doc_id", "n", "component", "own", F.posexplode(F.slice("common", F.lit(1), F.col("length").cast("int"))).alias("i", "e"))
+        .select(F.col("e.element").alias("element"), "doc_id", "n", "component", (F.col("n") - F.col("own") - F.col("i")).alias("rest"))
+    )
+    front = cut(front)
+    held = front.groupBy("element", "component").agg(F.count(F.lit(1)).alias("sets"))
+    main = held.groupBy("element").agg(F.max_by("component", F.struct("sets", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1").select("element", "main")
+    met = front.join(main, "element")
+    x = met.where("component != main").select("element", F.col("doc_id").alias("p"), F.col("n").alias("np"), F.col("component").alias("cp"), F.col("rest").alias("rp"))
+    y = met.select("element", F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("component").alias("cq"), F.col("rest").alias("rq"))
+    enough = F.least("rp", "rq") * (100 + percent) >= (F.col("np") + F.col("nq")) * percent
+    sized = F.least("np", "nq") * 100 >= F.greatest("np", "nq") * percent
+    pairs = x.join(y, "element").where((F.col("cp") != F.col("cq")) & enough & sized)
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs.
 
@@ -193,14 +236,11 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = cut(confirm(star, sets, percent))
     found = components(links)
 
-    # What is still apart in a bucket: pairs over different components, except those already refuted.
+    # What is still apart in a bucket.
     placed = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    open_rows = cut(placed.join(mixed, "band", "left_semi"))
-    x = open_rows.select("band", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("component").alias("ca"))
-    y = open_rows.select("band", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"))
-    more = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sized(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    more = more.join(star, ["a", "b"], "left_anti")
+    still = placed.join(mixed, "band", "left_semi").select("doc_id", "n_shingles", "component").distinct()
+    more = across(still, sets, percent).join(star, ["a", "b"], "left_anti")
     late = cut(confirm(more, sets, percent))
     if late.limit(1).collect():
         found = components(links.unionByName(late))
