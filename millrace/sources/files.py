@@ -68,7 +68,7 @@ def read_fileset(spark: SparkSession, fileset: Fileset, size: int = 0, rank: int
 
 def last_duration(spark: SparkSession, path: str) -> DataFrame:
     """path and the last DURATION value (ns) of each log file, null if there is none."""
-    logs = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    logs = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     every = F.regexp_extract_all("value", F.lit(r"(?m)^DURATION (\d+)"), F.lit(1))
     return logs.select("path", F.get(every, F.size(every) - 1).cast("long").alias("duration_ns"))
 
@@ -76,3 +76,14 @@ def last_duration(spark: SparkSession, path: str) -> DataFrame:
 def write_results(lines: DataFrame, path: str) -> None:
     """One gzip-compressed text line a row."""
     lines.write.mode("overwrite").option("compression", "gzip").text(path)
+
+
+def read_directory(spark: SparkSession, path: str) -> DataFrame:
+    """path and content of every file below a folder, version control's own left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return files.where(~F.col("path").contains("/.svn/"))
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """path and whole text of each file."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")

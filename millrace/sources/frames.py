@@ -58,6 +58,56 @@ def raw_frame(raw: bytes | None) -> tuple | None:
     return w, h, bits, np.frombuffer(raw[12 : 12 + size], "u1" if bits == 24 else ">u2").astype(np.int32)
 
 
+def png_frame(raw: bytes | None) -> tuple | None:
+    """(width, height, bits, data) of an RGB or RGBA file of 8 or 16 bits, alpha dropped; None for anything else."""
+    if not raw or not raw.startswith(b"\x89PNG\r\n\x1a\n"):
+        return None
+    at, head, packed = 8, None, []
+    while at + 8 <= len(raw):
+        size, kind = struct.unpack(">I4s", raw[at : at + 8])
+        body = raw[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"IDAT":
+            packed.append(body)
+        at += 12 + size
+    if head is None or head[2] not in (8, 16) or head[3] not in (2, 6) or head[6]:
+        return None
+    w, h, depth = head[:3]
+    step = (3 if head[3] == 2 else 4) * depth // 8
+    try:
+        flat = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
+    except zlib.error:
+        return None
+    if len(flat) < h * (1 + w * step):
+        return None
+    rows = np.zeros((h + 1, w + 1, step), np.int64)  # a row and a pixel of zeros before the first
+    for y, line in enumerate(flat[: h * (1 + w * step)].reshape(h, 1 + w * step), 1):
+        filtered, kind = line[1:].reshape(w, step).astype(np.int64), int(line[0])
+        up = rows[y - 1]
+        if kind == 0:
+            rows[y, 1:] = filtered
+        elif kind == 1:
+            rows[y, 1:] = np.cumsum(filtered, axis=0) & 255
+        elif kind == 2:
+            rows[y, 1:] = (filtered + up[1:]) & 255
+        elif kind in (3, 4):
+            for x in range(1, w + 1):
+                a, b, c = rows[y, x - 1], up[x], up[x - 1]
+                if kind == 3:
+                    guess = (a + b) // 2
+                else:
+                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+                    guess = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
+                rows[y, x] = (filtered[x - 1] + guess) & 255
+        else:
+            return None
+    data = rows[1:, 1:]
+    if depth == 16:
+        data = data[:, :, 0::2] * 256 + data[:, :, 1::2]
+    return w, h, 3 * depth, data[:, :, :3].reshape(-1).astype(np.int32)
+
+
 def _decoder(fn):
     def decode(content: pd.Series) -> pd.DataFrame:
         rows = [fn(c) or (None, None, None, None) for c in content]
@@ -76,7 +126,7 @@ def _encoder(fn):
 
 def decoded(content: Column, kind: str) -> Column:
     """struct of FRAME from file content; fields are null where it can't be read."""
-    return _decoder({"ppm": ppm_frame, "raw": raw_frame}[kind])(content)
+    return _decoder({"ppm": ppm_frame, "raw": raw_frame, "png": png_frame}[kind])(content)
 
 
 def encoded(width: Column, height: Column, bits: Column, data: Column, kind: str) -> Column:
@@ -84,9 +134,9 @@ def encoded(width: Column, height: Column, bits: Column, data: Column, kind: str
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """path and frame of image files by suffix (.ppm, .raw); other files have a null frame, empty ones no row."""
+    """path and frame of image files by suffix (.ppm, .raw, .png); other files have a null frame, empty ones no row."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    by_suffix = F.when(F.col("path").endswith(".ppm"), decoded(F.col("content"), "ppm")).when(F.col("path").endswith(".raw"), decoded(F.col("content"), "raw"))
+    by_suffix = F.when(F.col("path").endswith(".ppm"), decoded(F.col("content"), "ppm")).when(F.col("path").endswith(".raw"), decoded(F.col("content"), "raw")).when(F.col("path").endswith(".png"), decoded(F.col("content"), "png"))
     return files.withColumn("frame", by_suffix).select("path", "frame.*")
 
 

@@ -1,4 +1,5 @@
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -21,6 +22,45 @@ def test_ppm_and_raw_codecs():
     assert frames.ppm_frame(b"P6\n# made\n1 1 255\nabc")[3].tolist() == [97, 98, 99]
 
 
+def png(img: np.ndarray, depth: int, filters) -> bytes:
+    """A plain encoder with a given filter for each row."""
+    h, w, bands = img.shape
+    step = bands * depth // 8
+    flat = img.astype(">u2" if depth == 16 else "u1").tobytes()
+    rows = [flat[i * w * step : (i + 1) * w * step] for i in range(h)]
+    out = b""
+    for y, (row, f) in enumerate(zip(rows, filters, strict=True)):
+        up = rows[y - 1] if y else bytes(w * step)
+        line = []
+        for i, v in enumerate(row):
+            a, b, c = (row[i - step] if i >= step else 0), up[i], (up[i - step] if i >= step else 0)
+            p = a + b - c
+            paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            line.append((v - (0, a, b, (a + b) // 2, paeth)[f]) % 256)
+        out += bytes([f]) + bytes(line)
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + b"crc."
+    z = zlib.compress(out)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, 2 if bands == 3 else 6, 0, 0, 0)) + chunk(b"IDAT", z[:9]) + chunk(b"IDAT", z[9:]) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("depth", [8, 16])
+@pytest.mark.parametrize("bands", [3, 4])
+def test_png(depth, bands):
+    img = np.random.default_rng(depth + bands).integers(0, 2**depth, (5, 7, bands))
+    raw = png(img, depth, [0, 1, 2, 3, 4])
+    w, h, bits, data = frames.png_frame(raw)
+    assert (w, h, bits) == (7, 5, 3 * depth) and data.tolist() == img[:, :, :3].ravel().tolist()
+    assert frames.png_frame(raw[:40]) is None and frames.png_frame(b"GIF") is None and frames.png_frame(None) is None
+
+
+def test_directories_and_texts(spark, tmp_path):
+    (tmp_path / "a" / ".svn").mkdir(parents=True)
+    (tmp_path / "a" / ".svn" / "x").write_text("no")
+    (tmp_path / "a" / "f.pov").write_text("scene\ntwo")
+    assert [bytes(r["content"]) for r in files.read_directory(spark, str(tmp_path)).collect()] == [b"scene\ntwo"]
+    assert [r["value"] for r in files.read_texts(spark, str(tmp_path / "a" / "f.pov")).collect()] == ["scene\ntwo"]
+
+
 def test_files_written_and_read_again(spark, tmp_path):
     df = spark.range(7).select(F.col("id").alias("n"), F.array(*(F.lit(i) for i in range(6))).alias("data"))
     frames.write_files(
@@ -55,7 +95,9 @@ def test_sequence_text_params_and_logs(spark, tmp_path):
     assert files.parse_params("A = B\n# no\nQueryFile = /X/y # c\nbad\n") == {"a": "b", "queryfile": "/X/y"}
     (tmp_path / "n1.log").write_text("DURATION 5\nx\nDURATION 7\n")
     (tmp_path / "n2.log").write_text("nothing\n")
-    got = {r["path"][-6:]: r["duration_ns"] for r in files.last_duration(spark, str(tmp_path)).collect()}
+    found = files.last_duration(spark, str(tmp_path)).collect()
+    got = {r["path"][-6:]: r["duration_ns"] for r in found}
+    assert len(found) == 2
     assert got == {"n1.log": 7, "n2.log": None}
     files.write_results(spark.createDataFrame([("a",)], "value string"), str(tmp_path / "out"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["a"]
