@@ -66,20 +66,23 @@ def drop_templates(docs: DataFrame) -> DataFrame:
     count as one document. An empty table gives no rows; columns named n_lines or n_dropped are replaced.
     """
     found, recurring = templates(docs)
-    gone = found.join(recurring.select("template"), "template", "left_semi").select("row", "line").distinct().groupBy("row").agg(F.collect_list("line").alias("gone"))
+    gone = (
+        found.join(recurring.select("template"), "template", "left_semi").select("row", "line").distinct()
+        .groupBy(F.col("row").alias("_row")).agg(F.collect_list("line").alias("_gone"))
+    )
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "text")]
     lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     rest = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     said = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(TOKEN)))
     return (
-        docs.withColumn("row", F.xxhash64("doc_id", "text"))
-        .join(gone, "row", "left")
+        docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+        .join(gone, "_row", "left")
         .select(
             *kept_columns,
-            F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest).alias("text"),
+            F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest).alias("text"),
             said.cast("long").alias("n_lines"),
-            F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+            F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
         )
     )
 

@@ -109,28 +109,30 @@ def unwanted(node: Node) -> bool:
         while up and up.tag not in ("article", "main"):
             up = up.parent
         return up is None
-    if not node.attrs or tag in ("html", "body", "article", "main"):
+    if not node.attrs or tag in ("html", "body"):
         return False
-    words: set[str] = set()
+    names: list[set[str]] = []
     for m in _ATTR.finditer(node.attrs):
         name = (m[1] or m[5]).lower()
         value = next((g for g in m.group(2, 3, 4) if g is not None), "")
         if name in ("class", "id"):
-            words.update(w.lower() for w in _PART.findall(value))
+            names += [{w.lower() for w in _PART.findall(x)} for x in value.split()]
         elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-    if words & NEVER:
+    # A name that says nothing else decides; in a longer one (has-comments) it gives way to a name of content.
+    content = any(n and n <= CONTENT for n in names)
+    if any(n and n <= NEVER for n in names) or not content and any(n & NEVER for n in names):
         return True
-    return bool(words & SELDOM) and not words & CONTENT
+    return tag not in ("article", "main") and any(n & SELDOM for n in names) and not any(n & CONTENT for n in names)
 
 
-def prune(root: Node) -> None:
+def prune(root: Node, by_names: bool = True) -> None:
     todo = [root]
     while todo:
         node = todo.pop()
-        node.kids = [k for k in node.kids if isinstance(k, str) or not unwanted(k)]
+        node.kids = [k for k in node.kids if isinstance(k, str) or not (unwanted(k) if by_names else k.tag in DROPPED)]
         for k in node.kids:
             if not isinstance(k, str) and k.tag == "header":
                 k.kids = [h for h in ordered(k) if h.tag in HEADINGS]  # of an article's own header, its title
@@ -194,8 +196,13 @@ def extract(html: str | None) -> str:
     """The main text, blocks joined by single spaces; empty for a null or empty page or one without text."""
     if not html:
         return ""
+    # Where names hide all of the text, only elements decide.
+    return _extract(html, True) or _extract(html, False)
+
+
+def _extract(html: str, by_names: bool) -> str:
     root = parse(html)
-    prune(root)
+    prune(root, by_names)
     nodes = score(root)
     places = [n for n in nodes if n.tag in ("article", "main", "section", "div", "body", "td", "blockquote", "pre", "center", "html", "#root")]
     best = max(places, key=lambda n: n.score)  # the first of equals

@@ -1,0 +1,284 @@
+"""Each operator against a plain version, and its edges."""
+
+import hashlib
+from collections import Counter, defaultdict
+from html import unescape  # noqa: F401
+
+import brute
+import numpy as np
+import pytest
+from conftest import clashing
+from pyspark.sql import functions as F
+
+from millrace.llm import op01_sharding as op1
+from millrace.llm import op02_mixing as op2
+from millrace.llm import op03_decontaminate as op3
+from millrace.llm import op04_suffix_dedup as op4
+from millrace.llm import op05_line_templates as op5
+from millrace.llm import op06_token_counts as op6
+from millrace.llm import op07_quality as op7
+from millrace.llm import op08_minhash as op8
+from millrace.llm import op10_secrets as op10
+from millrace.llm._common import scratch
+from millrace.llm._graph import components
+
+
+def test_sharding(docs, pairs, empty):
+    got = sorted(tuple(r) for r in op1.shard(clashing(docs), 8, partitions=3).collect())
+    assert got == sorted(brute.shards(pairs))
+    assert op1.shard(empty, 8).collect() == []
+    one = op1.shard(docs.where("doc_id = 0"), 8).collect()
+    assert len(one) == 1 and one[0]["slot"] == 0
+    twice = op1.shard(docs.unionByName(docs), 8).groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.countDistinct("slot").alias("d")).collect()
+    assert all(r["lo"] == 0 and r["hi"] == r["n"] - 1 == r["d"] - 1 for r in twice)
+
+
+def test_mixing_targets():
+    assert op2.targets_of([100, 100, 100], share=1.5) == pytest.approx([200, 166.66666, 83.33333])
+    assert op2.targets_of([10, 1000], share=1.5) == pytest.approx([20, 1495])
+    assert op2.targets_of([0, 0]) == [0, 0] and op2.targets_of([]) == []
+    assert sum(op2.targets_of([5, 50, 500, 1, 7])) == pytest.approx(1.5 * 563)
+
+
+def test_mixing(docs, rows, empty):
+    out = op2.mix(clashing(docs)).collect()
+    assert len(out) == len(rows)
+    again = {r["doc_id"]: r["copies"] for r in op2.mix(docs.repartition(2)).collect()}
+    taken, source, most = Counter(), {}, Counter()
+    for r in out:
+        n = len(brute.words(r["text"]))
+        assert r["size"] == n and 0 <= r["copies"] <= 2 and again[r["doc_id"]] == r["copies"]
+        taken[r["source"]] += n * r["copies"]
+        source[r["source"]] = (r["source_size"], r["target"])
+        most[r["source"]] = max(most[r["source"]], n)
+    names = sorted(k for k in source if k is not None) + [None]
+    expected = op2.targets_of([source[k][0] for k in names])
+    assert [source[k][1] for k in names] == pytest.approx(expected)
+    assert all(abs(taken[k] - source[k][1]) <= most[k] for k in names)
+    assert op2.mix(empty).collect() == []
+    both = op2.mix(docs.unionByName(docs)).groupBy("doc_id").agg(F.countDistinct("copies").alias("n")).where("n > 1").count()
+    assert both == 0
+
+
+def test_pivotal_rounding_keeps_words_and_expectations():
+    rng = np.random.default_rng(0)
+    w = np.sort(rng.integers(1, 500, 300))[::-1].copy()
+    hits, totals = np.zeros(300), []
+    for _ in range(200):
+        p = op2.round_block(np.arange(300), w, np.full(300, 0.3), rng.random(300), False)
+        assert ((p == 0) | (p == 1)).sum() >= 299 and (p * w).sum() == pytest.approx(0.3 * w.sum())
+        q = op2.round_block(np.arange(300), w, np.full(300, 0.3), rng.random(300), True)
+        assert set(q) <= {0.0, 1.0}
+        hits += q
+        totals.append((q * w).sum())
+    assert abs(hits.mean() / 200 - 0.3) < 0.01 and np.abs(hits / 200 - 0.3).max() < 0.15
+
+
+def test_mixing_tree_leaves_nothing(docs, monkeypatch):
+    monkeypatch.setattr(op2, "FAN_IN", 2)
+    out = op2.copies(docs, block_rows=3).collect()
+    assert all(float(r["copies"]).is_integer() for r in out)
+    by = defaultdict(list)
+    for r in out:
+        by[r["source_size"], r["target"]].append(r["size"] * r["copies"])
+    assert len(out) <= docs.count()
+
+
+def test_decontamination(docs, pairs, spark, empty):
+    texts = {d: t for d, t in pairs}
+    long = texts[90].split("\n")[1]
+    items = [(1, long), (2, " ".join(long.split()[3:20]).upper()), (3, "one"), (4, None), (5, " ,, "), (6, "zzz yyy"), (10, long), (7, texts[0])]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
+    expected = brute.contamination(pairs, items)
+    for limit in (op3.AUTOMATON_BYTES, 2000):
+        got = op3.find_contamination(clashing(docs), bench, limit)
+        found = {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), len(r["items"]) >= 2) for r in got.collect()}
+        assert found == expected
+    assert any(v[4] for v in expected.values())
+    for r in op3.find_contamination(docs, bench).collect():
+        text = texts[r["doc_id"]]
+        words = [w for s in r["spans"] for w in op3.words_of(text[s["start"] : s["end"]].encode())]
+        assert len(words) == r["n_hit"]
+    assert op3.find_contamination(empty, bench).collect() == []
+    assert {r["n_hit"] for r in op3.find_contamination(docs, bench.limit(0)).collect()} == {0}
+
+
+@pytest.mark.parametrize("sizes", [(1 << 20, 1 << 18), (3000, 64)])
+def test_suffix_dedup(docs, pairs, sizes):
+    got = op4.remove_repeats(clashing(docs), texts=True, block_bytes=sizes[0], bucket_samples=sizes[1]).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute.repeats(pairs)
+    assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in got)
+
+
+def test_suffix_dedup_edges(docs, empty, spark):
+    assert op4.remove_repeats(empty).collect() == []
+    same = spark.createDataFrame([(1, "y" * 60), (1, "y" * 60), (None, "y" * 60), (None, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in op4.remove_repeats(same).collect()) == [(-1, 0), (-1, 60), (1, 0), (1, 0)]
+
+
+def test_suffix_ranks_fall_back_on_doubling(monkeypatch):
+    text, starts = b"abcabcabcx" * 30, np.arange(0, 240, 3)
+    good = op4.rank(text, starts)
+    monkeypatch.setattr(op4, "_join", lambda a, b, odd: a * 0)
+    bad = op4.rank(text, starts)
+    assert [x == y for x in good for y in good] == [x == y for x in bad for y in bad]
+
+
+def test_line_templates(docs, rows, empty):
+    out = {r["doc_id"]: r for r in op5.drop_templates(clashing(docs)).collect()}
+    assert len(out) == len(rows)
+    for d, t, *_ in rows:
+        if t is None:
+            assert out[d]["text"] is None
+        elif t.startswith("GET "):
+            assert out[d]["n_dropped"] == 1 and out[d]["text"] == ""
+        elif out[d]["n_dropped"] == 0:
+            assert out[d]["text"] == t
+        else:
+            kept = out[d]["text"].split("\n")
+            assert [x for x in t.split("\n") if x in kept] == [x for x in kept if x]
+    assert sum(r["n_dropped"] for r in out.values()) >= 14
+    assert op5.drop_templates(empty).collect() == []
+    plan = op5.drop_templates(docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
+
+
+def test_line_templates_oracle(docs, spark):
+    import duckdb
+
+    con = duckdb.connect()
+    documents = docs.select("doc_id", "text").toPandas()  # noqa: F841
+    con.register("documents", documents)
+    got = op5.drop_templates(docs).select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5")).collect()
+    rel = con.sql(op5.ORACLE)
+    assert sorted(tuple(r[c] for c in rel.columns) for r in got) == sorted(rel.fetchall())
+
+
+def test_token_rollup(docs, rows, spark, empty):
+    counts = op6.counted(docs)
+    got = {r["doc_id"]: (r["bpe"], r["words"]) for r in counts.collect()}
+    import public_tokenizers
+
+    enc = op6._encoder(op6.VOCABULARY, public_tokenizers.PATTERN)
+    assert got == {d: (len(enc.encode_ordinary(t or "")), len(brute.words(t))) for d, t, *_ in rows}
+    assert all(enc.decode(enc.encode_ordinary(t or "")) == (t or "") for _, t, *_ in rows[:20])
+
+    roll = op6.TokenRollup(spark, scratch(spark, "rollup"))
+    one = lambda n, d=docs: d.select("source", "lang", F.lit("v1").alias("tokenizer"), F.lit(n).alias("tokens"))
+    roll.commit("a", op6.inserts(one(5)))
+    roll.commit("a", op6.inserts(one(5)))
+    n = Counter(r[3] for r in rows)
+    total = lambda: {r["source"]: (r["docs"], r["tokens"]) for r in roll.totals().collect()}
+    assert total() == {k: (v, 5 * v) for k, v in n.items()}
+    roll.commit("b", op6.revisions(one(5), one(7)))
+    assert total() == {k: (v, 7 * v) for k, v in n.items()}
+    roll.commit("c", op6.deletes(one(7, docs.where("source = 's1'"))))
+    roll.commit("d", op6.inserts(one(7, empty)))
+    assert total() == {k: (v, 7 * v) for k, v in n.items() if k != "s1"}
+    with pytest.raises(ValueError):
+        roll.commit("../x", op6.inserts(one(1)))
+
+
+def test_quality(docs, pairs, empty, rows):
+    got = {r["doc_id"]: r for r in op7.quality(clashing(docs)).collect()}
+    for d, t in pairs:
+        r, counts = got[d], brute.quality_counts(t)
+        assert tuple(r[c] for c in op7.FEATURES[:5]) == counts
+        assert r["base_failed"] == (counts[0] < 10 or 100 * counts[4] > 20 * counts[0])
+        assert not (r["base_failed"] and r["kept"])
+    assert op7.quality(empty).collect() == []
+    kept = op7.reject(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {d for d in got if got[d]["kept"]}
+
+
+def test_quality_em_finds_bad_kinds():
+    patterns = {"gggggggggg": 900, "gggggg-ggg": 60, "bbbggggggg": 30, "gggbbggggg": 25, "bggggggggg": 8, "g" * 9 + "-": 10}
+    post, _ = op7.estimate(patterns)
+    assert post["gggggggggg"] > 0.99 and post["bbbggggggg"] < 0.01 and post["gggbbggggg"] < 0.01 and post["bggggggggg"] > op7.KEEP_AT
+    assert op7.estimate({})[0] == {}
+
+
+def test_near_groups(docs, pairs, empty):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in op8.groups(clashing(docs)).collect()}
+    assert got == brute.near_groups(pairs)
+    assert sum(not v[2] for v in got.values()) >= 6
+    assert op8.groups(empty).collect() == []
+    left = op8.dedup(docs)
+    assert left.columns == docs.columns and left.count() == sum(v[2] for v in got.values())
+
+
+def test_near_groups_of_drifting_copies(spark):
+    """A chain of copies, each two words from the last: one component, found through links that no centre has."""
+    w = [f"v{i}" for i in range(150)]
+    rows = []
+    for i in range(40):
+        rows.append((1000 - i, " ".join(w)))
+        w = list(w)
+        w[(i * 7) % 150] = f"n{i}"
+    rows += [(2000 + i, " ".join([*(f"v{j}" for j in range(110)), *(f"q{i}-{j}" for j in range(40))])) for i in range(25)]
+    rows.append((None, "a b c d e f"))
+    got = op8.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = brute.near_groups(rows[:-1])
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got if r["doc_id"] is not None} == expected
+    assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None] == [(None, True)]
+
+
+def test_superminhash_estimates():
+    rng = np.random.default_rng(1)
+    est = []
+    for _ in range(60):
+        e = rng.integers(0, 2**63, 300).astype(np.uint64)
+        sig = op8.superminhash(np.r_[e[:270], e[30:]], np.repeat([0, 1], [270, 270]), 2)
+        est.append((sig[0] == sig[1]).mean())
+    assert abs(np.mean(est) - 0.8) < 0.02 and np.std(est) < 0.035  # plain MinHash would have 0.035
+    assert (op8.superminhash(np.empty(0, np.uint64), np.empty(0, np.int64), 1) == np.iinfo(np.uint64).max).all()
+
+
+def test_components(spark):
+    rng = np.random.default_rng(2)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(i, i + 1) for i in range(500, 560)] + [(7, 7)]
+    parent: dict = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in parent}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_secrets(docs, pairs, empty):
+    got = {r["doc_id"]: r for r in op10.scan(clashing(docs)).collect()}
+    for d, t in pairs:
+        said = ",".join(f"{op10.KINDS[m['kind']]}:{m['start']}:{m['end']}" for m in got[d]["base"])
+        assert said == brute.secrets(t)[4]
+    assert sum(len(r["base"]) for r in got.values()) >= 5
+    assert op10.scan(empty).collect() == []
+
+
+def test_automata_learn_formats():
+    rng = np.random.default_rng(3)
+    key = lambda: b"AKIA" + bytes(rng.choice(list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 16).tolist())
+    hexed = lambda n: bytes(rng.choice(list(b"0123456789abcdef"), n).tolist())
+    a, h = op10.Automaton([key() for _ in range(400)]), op10.Automaton([hexed(20) for _ in range(400)])
+    held = [key() for _ in range(200)], [hexed(20) for _ in range(200)]
+    assert np.mean([a.accepts(x) for x in held[0]]) > 0.95 and np.mean([h.accepts(x) for x in held[1]]) > 0.95
+    clean = [b"www-example-site1", b"version2-release-notes", b"chapter12section"]
+    assert not any(a.accepts(x) or h.accepts(x) for x in clean)
+    assert 1 <= a.states < 100
+
+
+def test_learned_spans_join_base_ones(spark):
+    rng = np.random.default_rng(4)
+    hexed = lambda n: bytes(rng.choice(list(b"0123456789abcdef"), n).tolist()).decode()
+    rows = [(i, f"some words {hexed(24)} and more") for i in range(60)] + [(100, f"id {'a1b2c3d4e5f6a7'} end"), (101, "plain text only")]
+    got = {r["doc_id"]: r for r in op10.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(m["start"], m["end"]) for m in got[100]["learned"]] == [(3, 17)]
+    assert got[101]["base"] == [] and got[101]["learned"] == []
