@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,18 @@ def local_session(cores: int | str = 8, app: str = "millrace", **conf: str) -> S
     return spark
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver has it.
+
+    On a cluster the package is installed on the executors or shipped with --py-files; this only spares local runs
+    from having to set PYTHONPATH before the JVM starts.
+    """
+    root = str(Path(__file__).resolve().parent.parent)
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the bundled tables; column pruning and filters reach the Parquet scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
