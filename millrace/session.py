@@ -49,12 +49,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path for written tables in the folder that driver and executors share.
-
-    It is the one the cluster names in spark.checkpoint.dir; only where that is unset (local tests) a temporary one.
-    """
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one the cluster names in spark.checkpoint.dir; only where that
+    is unset (local tests) a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-checkpoints-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder for written tables."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
