@@ -2,41 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.session import importable, scratch, shared_folder
+
+__all__ = ["U64", "cut", "scratch", "small_batches", "splitmix", "unit"]
+
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 U64 = np.uint64
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one named in spark.checkpoint.dir, else (tests) a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-checkpoints-"))
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and go on from there; the copy survives the loss of executors."""
-    _shared(df.sparkSession)
+    spark = df.sparkSession
+    importable(spark)
+    shared_folder(spark)
     return df.checkpoint()
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder for written tables."""
-    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts holds, so that long documents don't pile up in a worker."""
+    importable(spark)
     spark.conf.set(BATCH_BYTES, str(8 << 20))
     spark.conf.set(BATCH_ROWS, "2000")
 
@@ -54,9 +42,3 @@ def unit(x: np.ndarray) -> np.ndarray:
     """Uniform doubles in [0, 1) from 64-bit integers."""
     return (x >> U64(11)).astype(np.float64) * (1.0 / (1 << 53))
 
-
-def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:
-    """Columns of each non-empty batch as Python lists."""
-    for batch in batches:
-        if batch.num_rows:
-            yield tuple(batch.column(n).to_pylist() for n in names)
