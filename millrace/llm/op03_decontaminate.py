@@ -176,3 +176,17 @@ def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("items") >= MIN_ITEMS).alias("contaminated"),
     )
+
+
+_FOLDED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w"
+ORACLE = f"""
+WITH d AS (SELECT doc_id, {_FOLDED} FROM documents), b AS (SELECT item_id, {_FOLDED} FROM benchmark),
+bw AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+       FROM (SELECT *, least(8, len(w)) AS k FROM b WHERE len(w) > 0), range(1, len(w) - k + 2) AS r(i)),
+dw AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM d, (SELECT DISTINCT k FROM bw), range(1, len(w) - k + 2) AS r(i)),
+hit AS (SELECT doc_id, i, k, item_id FROM dw JOIN bw USING (k, s)),
+pos AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM hit, range(k) AS r(j) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(pos.n, 0) AS n_hit, coalesce(it.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(it.n, 0) >= 2 AS contaminated
+FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
+"""
