@@ -8,9 +8,9 @@ suffixes are sorted one bucket at a time, only where a sample says that there is
    sample is a third of the size (one in 16 positions, not one in 5).
 2. Samples that only one document has can't be part of a repeat. Blocks of documents send the distinct samples they
    hold to buckets, a few bytes each, and get back those that are shared.
-3. Windows with a shared sample go to the sample's bucket, runs of them as one stretch of text. A bucket sorts its
-   suffixes by rank doubling (8, 16, 32, 50 bytes), so long ties cost a look-up of ranks, not a comparison of bytes.
-   The smallest doc_id of each 50-byte string goes back to the blocks.
+3. Windows with a shared sample go to the sample's bucket, runs of them as one stretch of text. A bucket at a time is
+   sorted: suffixes by their first bytes, long ties by names worked out beforehand for all places, so a tie costs a
+   look-up, not a comparison of 50 bytes. The smallest doc_id of each 50-byte string goes back to the blocks.
 4. Blocks remove what starts in a document with a smaller id.
 
 Texts are shuffled once, into blocks; what else moves is samples, shared stretches and ranks. A string that a third
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._common import U64, splitmix
+from millrace.session import importable
 
 LENGTH = 50
 GRAM = 20
@@ -228,36 +229,71 @@ def _send(buckets: int):
     return run
 
 
-def rank(text: bytes, starts: np.ndarray) -> np.ndarray:
-    """Ranks of the 50-byte strings at starts, in byte order; equal strings have equal ranks."""
-    buf = np.frombuffer(text + bytes(64), np.uint8)
-    w = buf.astype(U64)
-    for step in (1, 2, 4):
-        w = (w[:-step] << U64(8 * step)) | w[step:]
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + count[0] - 1, start[1] .. and so on."""
+    at = np.cumsum(count) - count
+    return np.repeat(start - at, count) + np.arange(int(count.sum()))
+
+
+def doubled(w: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Ranks of the 50-byte strings at starts from the 8-byte words at all places: 8, 16, 32, 50 bytes."""
     name = np.unique(w, return_inverse=True)[1].astype(U64)
     for step in (8, 16):
         name = np.unique((name[:-step] << U64(32)) | name[step:], return_inverse=True)[1].astype(U64)
     return np.unique((name[starts] << U64(32)) | name[starts + LENGTH - 32], return_inverse=True)[1]
 
 
-def owners(stretches: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """For each stretch the smallest doc that has the 50-byte string at each of its windows."""
+def rank(text: bytes, starts: np.ndarray) -> np.ndarray:
+    """Numbers of the 50-byte strings at starts, ordered by their first 8 bytes; equal strings have equal numbers.
+
+    Ties in the first bytes are resolved by names that are worked out once for all places of the bucket. Neighbours of
+    one name are compared byte by byte; should two strings share a name, ranks are doubled exactly instead.
+    """
+    buf = np.frombuffer(text + bytes(64), np.uint8)
+    w = buf.astype(U64)
+    for step in (1, 2, 4):
+        w = (w[:-step] << U64(8 * step)) | w[step:]
+    h2 = _join(_BYTE[buf[:-1]], _BYTE[buf[1:]], 0xBF58476D1CE4E5B9)
+    h16 = h2
+    for step, odd in ((2, 0x94D049BB133111EB), (4, 0xD6E8FEB86659FD93), (8, 0xA0761D6478BD642F)):
+        h16 = _join(h16[:-step], h16[step:], odd)
+    h32 = _join(h16[:-16], h16[16:], 0x8EBC6AF09C88C6E3)
+    name = _join(_join(h32[starts], h16[starts + 32], 0x589965CC75374CC3), h2[starts + 48], 0x1D8E4E27C47D124F)
+    order = np.lexsort((name, w[starts]))
+    name, at = name[order], starts[order]
+    same = np.r_[False, (name[1:] == name[:-1]) & (w[at[1:]] == w[at[:-1]])]
+    tied = np.flatnonzero(same)
+    if any((w[at[tied] + o] != w[at[tied - 1] + o]).any() for o in (8, 16, 24, 32, 40, LENGTH - 8)):
+        return doubled(w, starts)
+    out = np.empty(len(starts), np.int64)
+    out[order] = np.cumsum(~same) - 1
+    return out
+
+
+def owners(stretches: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The smallest doc that has the 50-byte string at each window of each stretch, as runs of windows.
+
+    (number of runs of each stretch, windows of each run, doc of each run), in the order of stretches.
+    """
     seen: dict[bytes, int] = {}
-    of = np.array([seen.setdefault(s, len(seen)) for s in stretches], dtype=np.int64)
+    of = np.fromiter((seen.setdefault(s, len(seen)) for s in stretches), np.int64, len(stretches))
     own = np.full(len(seen), LAST, np.int64)
     np.minimum.at(own, of, docs)
-    sizes = np.array([len(s) for s in seen], dtype=np.int64)
+    sizes = np.fromiter(map(len, seen), np.int64, len(seen))
     windows = sizes - LENGTH + 1
-    at = np.cumsum(sizes) - sizes
-    total = np.cumsum(windows)
-    first = total - windows
-    starts = np.arange(total[-1]) - np.repeat(first, windows) + np.repeat(at, windows)
+    first = np.cumsum(windows) - windows
+    starts = _ranges(np.cumsum(sizes) - sizes, windows)
     ranks = rank(b"".join(seen), starts)
-    least = np.full(ranks.max() + 1, LAST, np.int64)
+    least = np.full(int(ranks.max()) + 1, LAST, np.int64)
     np.minimum.at(least, ranks, np.repeat(own, windows))
     found = least[ranks]
-    parts = [found[a:b] for a, b in zip(first.tolist(), total.tolist(), strict=True)]
-    return [parts[g] for g in of.tolist()]
+    fresh = np.r_[True, found[1:] != found[:-1]]
+    fresh[first] = True
+    head = np.flatnonzero(fresh)
+    lengths = np.diff(np.r_[head, len(found)])
+    counts = np.add.reduceat(fresh.astype(np.int64), first)
+    pick = _ranges((np.cumsum(counts) - counts)[of], counts[of])
+    return counts[of], lengths[pick], found[head][pick]
 
 
 def _sort(table: pa.Table) -> pa.Table:
@@ -267,18 +303,14 @@ def _sort(table: pa.Table) -> pa.Table:
         stretches += [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         docs.append(np.frombuffer(doc, np.int64))
         sizes.append(len(ends))
-    found = owners(stretches, np.concatenate(docs))
+    counts, lengths, values = owners(stretches, np.concatenate(docs))
+    runs = np.r_[0, np.cumsum(counts)]
     out: list[list] = [[] for _ in range(6)]
     i = 0
     for n, block, bucket, low in zip(sizes, *(table.column(c).to_pylist() for c in ("block", "bucket", "low")), strict=True):
-        counts, lengths, values = [], [], []
-        for x in found[i : i + n]:
-            head = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-            counts.append(len(head))
-            lengths.append(np.diff(np.r_[head, len(x)]))
-            values.append(x[head])
+        a, b = runs[i], runs[i + n]
+        row = (block, bucket, low, counts[i : i + n].astype(np.uint32).tobytes(), lengths[a:b].astype(np.uint32).tobytes(), values[a:b].tobytes())
         i += n
-        row = (block, bucket, low, np.array(counts, np.uint32).tobytes(), np.concatenate(lengths).astype(np.uint32).tobytes(), np.concatenate(values).tobytes())
         for column, x in zip(out, row, strict=True):
             column.append(x)
     return _table(RANKS, out)
@@ -291,22 +323,26 @@ def removed(block: Block, replies: pa.Table, buckets: int) -> np.ndarray:
         return np.zeros(n, bool)
     block.runs()
     kept, of, heads = _stretches(block, _shared_of(replies), buckets)
-    found: dict[int, np.ndarray] = {}
     place = dict(_split(_bucket(block.key[heads], buckets)))
+    # Runs of windows of each stretch, stretches in the order of the replies.
+    counts, lengths, values, order = [], [], [], []
     for bucket, count, length, owner in zip(*(replies.column(c).to_pylist() for c in ("bucket", "counts", "lengths", "owners")), strict=True):
-        part = place[bucket]
-        count = np.frombuffer(count, np.uint32).astype(np.int64)
-        each = np.frombuffer(length, np.uint32).astype(np.int64)
-        owner = np.frombuffer(owner, np.int64)
-        ends = np.cumsum(count).tolist()
-        for g, a, b in zip(part.tolist(), [0, *ends], ends, strict=False):
-            found[g] = np.repeat(owner[a:b], each[a:b])
-    gone = np.zeros(n + 1, np.int32)
-    for g, first, doc in zip(of.tolist(), block.first[kept].tolist(), block.ids[block.doc[kept]].tolist(), strict=True):
-        hit = np.flatnonzero(found[g] < doc)
-        if len(hit):
-            gone[first + hit] += 1
-            gone[first + hit + LENGTH] -= 1
+        order.append(place[bucket])
+        counts.append(np.frombuffer(count, np.uint32))
+        lengths.append(np.frombuffer(length, np.uint32))
+        values.append(np.frombuffer(owner, np.int64))
+    count = np.empty(len(heads), np.int64)
+    start = np.empty(len(heads), np.int64)
+    each, order = np.concatenate(counts).astype(np.int64), np.concatenate(order)
+    count[order], start[order] = each, np.cumsum(each) - each
+    length, owner = np.concatenate(lengths).astype(np.int64), np.concatenate(values)
+    # Each run of each occurrence: its first window in the block, its length, and whether it starts in a smaller doc.
+    pick = _ranges(start[of], count[of])
+    before = np.cumsum(length) - length
+    offset = before[pick] - np.repeat(before[start[of]], count[of])
+    first = np.repeat(block.first[kept], count[of]) + offset
+    hit = owner[pick] < np.repeat(block.ids[block.doc[kept]], count[of])
+    gone = np.bincount(first[hit], minlength=n + 1) - np.bincount(first[hit] + length[pick][hit] - 1 + LENGTH, minlength=n + 1)
     return np.cumsum(gone[:n]) > 0
 
 
@@ -340,6 +376,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False, block_bytes: int = BLOC
     Texts under 50 bytes stay whole. An empty table gives no rows; other columns aren't read.
     """
     spark = docs.sparkSession
+    importable(spark)
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
