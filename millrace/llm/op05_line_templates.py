@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm._common import cut
+
 LEADING = 2
 MIN_TOKENS = 4
 MIN_LINES = 3
@@ -24,37 +26,36 @@ TOKEN = r"[^\x20\x09-\x0D]+"
 
 
 def templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines that could be dropped: row, line, template, constant) and the templates that recur."""
+    """(lines that could be dropped: row, line, template) and the templates that recur."""
+    tokens_of = lambda said: F.regexp_extract_all(said, F.lit(TOKEN), F.lit(0))
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     lines = (
-        docs.select(F.xxhash64("doc_id", "text").alias("row"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "said"))
-        .withColumn("tokens", F.regexp_extract_all("said", F.lit(TOKEN), F.lit(0)))
+        keyed.select("row", F.posexplode(F.split("text", "\n")).alias("line", "said"))
+        .select("row", "line", tokens_of(F.col("said")).alias("tokens"))
         .withColumn("n", F.size("tokens"))
         .where(F.col("n") >= MIN_TOKENS)
     )
     lead = [F.when(F.col("tokens")[i].rlike("[0-9]"), F.lit(WILD)).otherwise(F.col("tokens")[i]) for i in range(LEADING)]
-    lines = lines.withColumn("leaf", F.xxhash64("n", *lead))
+    # From here on a line is a few numbers; its text stays behind.
+    narrow = cut(lines.select("row", "line", "n", F.xxhash64("n", *lead).alias("leaf"), F.xxhash64("tokens").alias("kind")))
     # A leaf that holds lines of too few documents has no template; most prose ends here.
-    leaves = lines.select("leaf", "row").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= MIN_DOCS).select("leaf")
-    crowded = lines.select("row", "line", "leaf", "tokens", "n").join(leaves, "leaf")
-    # Equal lines count once with their number, so a line that a third of the corpus has is one row here.
-    kinds = crowded.groupBy("leaf", "tokens").agg(F.count(F.lit(1)).alias("lines"))
-    placed = kinds.select("leaf", "lines", F.posexplode("tokens").alias("at", "token"))
+    leaves = narrow.select("leaf", "row").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= MIN_DOCS).select("leaf")
+    crowded = cut(narrow.join(leaves, "leaf").select("row", "line", "n", "leaf", "kind"))
+    # Equal lines count once with their number, so a line that a third of the corpus has is one row here. Its tokens are
+    # read from one of the documents that have it; a document's list is bounded by its lines.
+    kinds = crowded.groupBy("leaf", "kind", "n").agg(F.count(F.lit(1)).alias("lines"), F.min(F.struct("row", "line")).alias("at"))
+    wanted = kinds.groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "leaf", "kind", "n", "lines")).alias("wanted"))
+    read = keyed.join(wanted, "row").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w")).select("w.*", tokens_of(F.get("all", F.col("w.line"))).alias("tokens"))
+    read = cut(read.dropDuplicates(["leaf", "kind"]).select("leaf", "kind", "n", "lines", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens")))
+    placed = read.select("leaf", "kind", "lines", F.posexplode("tokens").alias("at", "token"))
     constant = placed.groupBy("leaf", "at", "token").agg(F.sum("lines").alias("lines")).where(F.col("lines") >= MIN_LINES).select("leaf", "at", "token")
-    kinds = kinds.select("leaf", "tokens", F.xxhash64("leaf", "tokens").alias("kind"))
-    marked = (
-        kinds.select("leaf", "kind", F.posexplode("tokens").alias("at", "token"))
-        .join(constant, ["leaf", "at", "token"])
-        .groupBy("kind")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("constant"))
-    )
-    # Tokens per kind are as many as its line has, so the lists are bounded by a line.
-    shaped = marked.select("kind", F.size("constant").alias("constants"), F.col("constant").alias("shape"))
-    found = (
-        crowded.select("row", "line", "leaf", "n", F.xxhash64("leaf", "tokens").alias("kind"))
-        .join(shaped, "kind")
-        .where(F.col("constants") * 100 >= F.col("n") * CONSTANT_PERCENT)
-        .select("row", "line", F.xxhash64("leaf", "n", "shape").alias("template"))
+    shaped = (
+        placed.join(constant, ["leaf", "at", "token"])
+        .groupBy("leaf", "kind")
+        .agg(F.count(F.lit(1)).alias("constants"), F.array_sort(F.collect_list(F.struct("at", "token"))).alias("shape"))
+        .select("leaf", "kind", "constants", F.xxhash64("leaf", "shape").alias("template"))
     )
+    found = crowded.join(shaped, ["leaf", "kind"]).where(F.col("constants") * 100 >= F.col("n") * CONSTANT_PERCENT).select("row", "line", "template")
     recurring = found.select("template", "row").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= MIN_DOCS)
     return found, recurring
 
