@@ -11,13 +11,13 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import small_batches
+from millrace.llm._common import cut, small_batches
 
 WINDOW = 8
 #: Patterns of one automaton, in bytes; more benchmark text than this is scanned for in several passes.
@@ -29,7 +29,7 @@ FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 _WORD = re.compile(rb"[^ ]+")
-SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+SCHEMA = "row long, doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -110,18 +110,18 @@ def _scan(shared):
         auto = _automaton(shared)
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
                 n, ranges, items = inspect(text, auto)
                 spans = []
                 if ranges:
                     at = [m.span() for m in _WORD.finditer(text.translate(FOLD))]
                     spans = [{"start": len(text[: at[a][0]].decode("utf-8", "replace")), "end": len(text[: at[b - 1][1]].decode("utf-8", "replace"))} for a, b in ranges]
-                out.append((doc, n, sum(b - a for a, b in ranges), sorted(items), spans, [{"start": a, "end": b} for a, b in ranges]))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+                out.append((row, doc, n, sum(b - a for a, b in ranges), sorted(items), spans, [{"start": a, "end": b} for a, b in ranges]))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), span, span), strict=True)],
-                names=["doc_id", "n_words", "n_hit", "items", "spans", "word_spans"],
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), span, span), strict=True)],
+                names=["row", "doc_id", "n_words", "n_hit", "items", "spans", "word_spans"],
             )
 
     return run
@@ -131,28 +131,30 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, limit: int = AUTOM
     """For each row of docs: doc_id, n_words, n_hit, items (sorted ids), spans (offsets in the original text).
 
     A null or empty text has no words; an item without words has no window; repeated items share patterns. Rows
-    stay apart even if they repeat a doc_id, as long as one automaton holds the benchmark. A benchmark over `limit`
-    is scanned for slice by slice and the passes are merged by (doc_id, text).
+    stay apart even if they repeat a doc_id or have none. A benchmark over `limit` is scanned for slice by slice; the
+    rows are numbered and written once before, and the passes are merged by that number.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    narrow = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    slices = slices_of(benchmark, limit)
+    first, second = next(slices, []), next(slices, None)
+    row = F.lit(None).cast("long") if second is None else F.monotonically_increasing_id()
+    narrow = docs.select(row.alias("row"), "doc_id", F.col("text").cast("binary").alias("text"))
+    if second is not None:
+        narrow = cut(narrow)
     schema = SCHEMA + ", word_spans array<struct<start:int,end:int>>"
     passes = []
-    for items in slices_of(benchmark, limit):
+    for items in chain([first], [] if second is None else [second], slices):
         found = patterns_of(items)
         token = hashlib.sha256(repr(sorted(found.items())).encode()).hexdigest()
         shared = spark.sparkContext.broadcast((token, found))
         passes.append(narrow.mapInArrow(_scan(shared), schema))
-    if not passes:
-        passes = [narrow.mapInArrow(_scan(spark.sparkContext.broadcast(("none", {}))), schema)]
     if len(passes) == 1:
-        return passes[0].drop("word_spans")
-    # Passes give the same rows in the same order within a partition; they meet by doc_id and length.
+        return passes[0].drop("row", "word_spans")
     whole = passes[0]
     for more in passes[1:]:
         whole = whole.unionByName(more)
-    meet = whole.groupBy("doc_id", "n_words").agg(
+    meet = whole.groupBy("row", "doc_id", "n_words").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("word_spans")))).alias("word_spans"),
