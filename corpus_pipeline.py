@@ -9,6 +9,8 @@ from millrace.llm import _common, op01_sharding, op02_mixing, op03_decontaminate
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHARDS = 8
+#: Documents as alike as this, in percent, are near-duplicates.
+NEAR_PERCENT = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    return op08_minhash.dedup(docs).select(*COLUMNS)
+    return op08_minhash.dedup(docs, NEAR_PERCENT).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Cases in which an operator once did less than the whole job."""
 
+import corpus_pipeline as cp
 from millrace.llm import op03_decontaminate as op3
 
 
@@ -13,3 +14,15 @@ def test_decontamination_in_slices_keeps_rows_apart(spark):
     none, one, two = (20, 0, []), (20, 20, ["1"]), (20, 20, ["2", "3"])
     expected = [(1, *one), (1, *two), (None, *one), (None, *two), (None, *none), (1, *one), (2, 0, 0, []), (None, 0, 0, [])]
     assert said(op3.AUTOMATON_BYTES) == said(300) == sorted(map(str, expected))
+
+
+def rows_of(spark, pairs):
+    return spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in pairs], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_near_dedup_stage_links_at_80_percent(spark):
+    """Two words of 120 changed far apart: 106 of 126 shingles are common. Three: 101 of 131."""
+    w = [f"w{i}" for i in range(120)]
+    changed = lambda at: " ".join(f"n{i}" if i in at else x for i, x in enumerate(w))
+    docs = rows_of(spark, [(1, " ".join(w)), (2, changed((30, 60))), (3, changed((20, 50, 80)))])
+    assert sorted(r["doc_id"] for r in cp.near_dedup(spark, docs, "").collect()) == [1, 3]
