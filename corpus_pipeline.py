@@ -19,14 +19,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates the document with the smallest id stays, one row of it."""
     return op08_minhash.dedup(docs, NEAR_PERCENT).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of any benchmark item occurs go."""
-    found = op03_decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where(F.size("items") > 0).select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = op03_decontaminate.find_contamination(keyed.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    dirty = found.where(F.size("items") > 0).select(F.col("doc_id").alias("_row")).distinct()
+    return keyed.join(dirty, "_row", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

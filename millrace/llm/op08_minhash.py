@@ -251,9 +251,22 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs without the rows that aren't kept, all columns as they were."""
-    gone = groups(docs, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each group, all columns as they were.
+
+    A document is a row's doc_id and text, so rows that share a doc_id or have none are compared by their own texts. Of a
+    group the smallest doc_id stays, null after all others; of equal documents one row stays, texts without words too.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    grouped = groups(keyed.select(F.col("_row").alias("doc_id"), "text"), percent)
+    member = cut(grouped.groupBy(F.col("doc_id").alias("_row")).agg(F.min("component_id").alias("_group"), F.count(F.lit(1)).alias("_rows")))
+    named = member.select("_row", "_group").join(keyed.select("_row", "doc_id").distinct(), "_row")
+    stays = named.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_stays"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    gone = named.join(stays, "_group").where(F.col("_row") != F.col("_stays._row")).select("_row")
+    left = keyed.join(gone, "_row", "left_anti")
+    again = member.where("_rows > 1").select("_row")
+    if again.limit(1).collect():
+        left = left.join(again, "_row", "left_anti").unionByName(left.join(again, "_row", "left_semi").dropDuplicates(["_row"]))
+    return left.select(*docs.columns)
 
 
 def op8_minhash_dedup(spark, sf_dir: str) -> DataFrame:

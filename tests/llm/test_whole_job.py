@@ -26,3 +26,15 @@ def test_near_dedup_stage_links_at_80_percent(spark):
     changed = lambda at: " ".join(f"n{i}" if i in at else x for i, x in enumerate(w))
     docs = rows_of(spark, [(1, " ".join(w)), (2, changed((30, 60))), (3, changed((20, 50, 80)))])
     assert sorted(r["doc_id"] for r in cp.near_dedup(spark, docs, "").collect()) == [1, 3]
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    """Null and repeated doc_ids: one row of a group of copies stays, each text is judged on its own."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    pairs = [(None, a), (None, a), (3, a), (3, a), (5, b), (5, c), (7, c), (None, d), (None, d), (8, "alone"), (9, b), (10, None)]
+    left = cp.near_dedup(spark, rows_of(spark, pairs), "").collect()
+    assert sorted(str((r["doc_id"], r["text"])) for r in left) == sorted(map(str, [(3, a), (5, b), (5, c), (None, d), (8, "alone"), (10, None)]))
+
+    spark.createDataFrame([(1, d)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = cp.decontaminate(spark, rows_of(spark, [(None, d), (None, a), (4, d), (4, b), (None, None)]), str(tmp_path)).collect()
+    assert sorted(str((r["doc_id"], r["text"])) for r in clean) == sorted(map(str, [(None, a), (4, b), (None, None)]))
