@@ -29,7 +29,7 @@ FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 _WORD = re.compile(rb"[^ ]+")
-SCHEMA = "row long, doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+SCHEMA = "row long, doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>, whole boolean"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -81,28 +81,30 @@ def _automaton(shared):
     return _built[shared.value[0]]
 
 
-def inspect(text: bytes | None, auto) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Number of words, merged word ranges inside occurrences, items with occurrences."""
+def inspect(text: bytes | None, auto) -> tuple[int, list[tuple[int, int]], set[str], bool]:
+    """Number of words, merged word ranges inside occurrences, items with occurrences, whether a window had WINDOW words."""
     words = words_of(text)
     if not words or not len(auto):
-        return len(words), [], set()
+        return len(words), [], set(), False
     flat = " " + b" ".join(words).decode("latin-1") + " "
     starts = None
     ranges: list[tuple[int, int]] = []
     items: set[str] = set()
+    whole = False
     for end, (length, count, owners) in auto.iter(flat):
         if starts is None:
             starts = [0, *accumulate(len(w) + 1 for w in words)]  # the space before each word
         first = bisect_right(starts, end - length + 1) - 1
         ranges.append((first, first + count))
         items.update(owners)
+        whole = whole or count >= WINDOW
     merged: list[tuple[int, int]] = []
     for a, b in sorted(ranges):
         if merged and a <= merged[-1][1]:
             merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
         else:
             merged.append((a, b))
-    return len(words), merged, items
+    return len(words), merged, items, whole
 
 
 def _scan(shared):
@@ -111,24 +113,25 @@ def _scan(shared):
         for batch in batches:
             out = []
             for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
-                n, ranges, items = inspect(text, auto)
+                n, ranges, items, whole = inspect(text, auto)
                 spans = []
                 if ranges:
                     at = [m.span() for m in _WORD.finditer(text.translate(FOLD))]
                     spans = [{"start": len(text[: at[a][0]].decode("utf-8", "replace")), "end": len(text[: at[b - 1][1]].decode("utf-8", "replace"))} for a, b in ranges]
-                out.append((row, doc, n, sum(b - a for a, b in ranges), sorted(items), spans, [{"start": a, "end": b} for a, b in ranges]))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+                out.append((row, doc, n, sum(b - a for a, b in ranges), sorted(items), spans, whole, [{"start": a, "end": b} for a, b in ranges]))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 8
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), span, span), strict=True)],
-                names=["row", "doc_id", "n_words", "n_hit", "items", "spans", "word_spans"],
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), span, pa.bool_(), span), strict=True)],
+                names=["row", "doc_id", "n_words", "n_hit", "items", "spans", "whole", "word_spans"],
             )
 
     return run
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, limit: int = AUTOMATON_BYTES) -> DataFrame:
-    """For each row of docs: doc_id, n_words, n_hit, items (sorted ids), spans (offsets in the original text).
+    """For each row of docs: doc_id, n_words, n_hit, items (sorted ids), spans (offsets in the original text),
+    whole (a window of the full WINDOW words occurs; an item of fewer words has none).
 
     A null or empty text has no words; an item without words has no window; repeated items share patterns. Rows
     stay apart even if they repeat a doc_id or have none. A benchmark over `limit` is scanned for slice by slice; the
@@ -158,6 +161,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, limit: int = AUTOM
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("word_spans")))).alias("word_spans"),
+        F.bool_or("whole").alias("whole"),
     )
     hit = F.aggregate(
         "word_spans",
@@ -165,7 +169,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, limit: int = AUTOM
         lambda acc, s: F.struct(F.greatest(acc["end"], s["end"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["end"], s["start"]))).alias("n")),
         lambda acc: acc["n"],
     )
-    return meet.select("doc_id", "n_words", hit.alias("n_hit"), "items", "spans")
+    return meet.select("doc_id", "n_words", hit.alias("n_hit"), "items", "spans", "whole")
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -38,3 +38,15 @@ def test_stages_decide_by_row(spark, tmp_path):
     spark.createDataFrame([(1, d)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     clean = cp.decontaminate(spark, rows_of(spark, [(None, d), (None, a), (4, d), (4, b), (None, None)]), str(tmp_path)).collect()
     assert sorted(str((r["doc_id"], r["text"])) for r in clean) == sorted(map(str, [(None, a), (4, b), (None, None)]))
+
+
+def test_one_short_item_is_no_leak(spark, tmp_path):
+    """Items under eight words count by two; one window of eight is enough, in one automaton or several."""
+    long = "one two three four five six seven eight nine"
+    items = [(1, "paris"), (2, "forty two"), (3, long)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = rows_of(spark, [(1, "spring in Paris"), (2, "Paris, forty two"), (3, f"so {long}"), (4, "two three four five six seven eight"), (5, "two three four five six seven eight nine")])
+    assert sorted(r["doc_id"] for r in cp.decontaminate(spark, docs, str(tmp_path)).collect()) == [1, 4]
+    for limit in (op3.AUTOMATON_BYTES, 100):
+        assert {r["doc_id"] for r in op3.find_contamination(docs, bench, limit).where("whole").collect()} == {3, 5}
