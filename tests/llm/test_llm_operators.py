@@ -1,8 +1,10 @@
 """Each operator against a plain version, and its edges."""
 
 import hashlib
+import random
+import re
+import time
 from collections import Counter, defaultdict
-from html import unescape  # noqa: F401
 
 import brute
 import numpy as np
@@ -261,6 +263,8 @@ def test_secrets(docs, pairs, empty):
         assert said == brute.secrets(t)[4]
     assert sum(len(r["base"]) for r in got.values()) >= 5
     assert op10.scan(empty).collect() == []
+    twice = op10.scan(docs.unionByName(docs)).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct(F.to_json(F.struct("base", "learned"))).alias("kinds")).collect()
+    assert {(r["n"], r["kinds"]) for r in twice} == {(2, 1)}
 
 
 def test_automata_learn_formats():
@@ -275,10 +279,66 @@ def test_automata_learn_formats():
     assert 1 <= a.states < 100
 
 
+def credentials(rng):
+    """Three formats, none of which a base pattern finds without its keyword."""
+    pick = lambda letters, n: "".join(rng.choices(letters, k=n))
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    return rng.choice((lambda: "ghx_" + pick(upper + lower + digits, 36), lambda: "sk-live-" + pick(upper + lower + digits, 24), lambda: f"{pick(upper + digits, 8)}-{pick(upper + digits, 8)}-{pick(upper + digits, 8)}"))()
+
+
+def test_learned_formats_are_found_without_keyword(spark):
+    """Half of the table names its credentials, half doesn't: the second half is found by what the first one taught."""
+    rng = random.Random(8)
+    plain = ["www.example.org/index.html", "version-2.10.4", "anna.maria.schmidt", "internationalization", "2024-03-17", "+49-170-1234567", "IMG_20240317.jpeg", "self-contained", "Geschwindigkeit", "UNITED-STATES", "x86_64-linux"]
+    prose = lambda n: " ".join(rng.choice(plain) if rng.random() < 0.1 else "".join(rng.choices("etaoinshrdlu", k=rng.randrange(1, 14))) for _ in range(n))
+    rows, held = [], {}
+    for i in range(400):
+        secret = credentials(rng)
+        if i % 2:
+            rows.append((i, f"{prose(30)} api_key = {secret} {prose(10)}"))
+        else:
+            before = f"é {prose(30)} "
+            rows.append((i, f"{before}{secret}. {prose(10)}"))
+            held[i] = (len(before), len(before) + len(secret))
+    rows += [(1000 + i, prose(60)) for i in range(300)]
+    got = {r["doc_id"]: [(m["start"], m["end"]) for m in r["learned"]] for r in op10.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = sum(span in got[d] for d, span in held.items())
+    alarms = sum(len([s for s in spans if s != held.get(d)]) for d, spans in got.items())
+    print(f"recall {caught / len(held):.3f}, false alarms {alarms} in {sum(len(t.split()) for _, t in rows)} tokens")
+    assert caught >= 0.9 * len(held) and alarms <= 5
+
+
 def test_learned_spans_join_base_ones(spark):
     rng = np.random.default_rng(4)
     hexed = lambda n: bytes(rng.choice(list(b"0123456789abcdef"), n).tolist()).decode()
-    rows = [(i, f"some words {hexed(24)} and more") for i in range(60)] + [(100, f"id {'a1b2c3d4e5f6a7'} end"), (101, "plain text only")]
+    long = hexed(24)
+    rows = [(i, f"some words {hexed(24)} and more of these ordinary tokens, number-{i}, wonderful landscapes") for i in range(60)]
+    rows += [(100, "id a1b2c3d4e5f6a7 end"), (101, "plain text only"), (102, f"é x {long}.{long} y")]
     got = {r["doc_id"]: r for r in op10.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [(m["start"], m["end"]) for m in got[100]["learned"]] == [(3, 17)]
     assert got[101]["base"] == [] and got[101]["learned"] == []
+    assert [(m["start"], m["end"]) for m in got[102]["base"]] == [(4, 28), (29, 53)]
+    assert all(m["score"] > -5 for m in got[102]["base"])
+
+
+def test_secret_candidates_against_plain_version(pairs):
+    for _, t in pairs:
+        b = (t or "").encode()
+        base = op10.base_matches(b)
+        plain = []
+        for m in re.finditer(rb"[A-Za-z0-9+/_.=-]{8,}", b):
+            token = m[0].strip(b".")
+            s = m.start() + len(m[0]) - len(m[0].lstrip(b"."))
+            if len(token) >= 8 and not any(x <= s and s + len(token) <= e for x, _, e, _ in base):
+                plain.append((s, token))
+        assert list(op10.candidates(b, base)) == plain
+
+
+def test_secret_scan_of_a_long_text_is_linear():
+    text = ("é some text with deadbeefdeadbeef12 and wonderful landscapes " * 100_000).encode()
+    began = time.perf_counter()
+    base = op10.base_matches(text)
+    found = list(op10.candidates(text, base))
+    at = op10.characters(text, {s for s, *_ in base} | {s for s, _ in found})
+    assert len(base) == 100_000 and len(found) == 200_000 and at[base[1][0]] == len(text[: base[1][0]].decode())
+    assert time.perf_counter() - began < 20
