@@ -1,54 +1,184 @@
-"""Pixel kernels as column expressions over one frame a row.
+"""Pixel kernels over one frame a row.
 
-A frame is width, height and data, an array of unsigned samples in rows of interleaved bands. Kernels stay inside
-the row, so frames are worked on where they lie: no shuffle, whatever the kernel's reach.
+A frame is width, height and data, an array of unsigned samples in rows of interleaved bands, or one binary in the raw
+frame format (see raw_bytes). Kernels stay inside the row, so frames are worked on where they lie: no shuffle, whatever
+the kernel's reach. Each kernel is a function on a height x width x bands array; Arrow carries whole frames to it. `chain`
+runs several kernels on packed frames in one go, so that a frame crosses to Python and back once, at a byte a sample.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import struct
+import zlib
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 BANDS = 3
 SHARPEN = ((-1, -1, -1), (-1, 9, -1), (-1, -1, -1))
 BLUR = ((1, 1, 1), (1, 1, 1), (1, 1, 1))
+#: Bytes of frames that go to a Python worker at once.
+BATCH_BYTES = 16 << 20
+
+Kernel = Callable[[np.ndarray], np.ndarray | None]
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """Frames are large, so a batch is bounded by bytes; a smaller bound of the caller's stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
+# Kernels on arrays.
+
+
+def convolved(a: np.ndarray, kernel, weight: int, top: int = 255) -> np.ndarray:
+    out = a.copy()
+    if a.shape[0] < 3 or a.shape[1] < 3:
+        return out
+    reach = sum(abs(k) for row in kernel for k in row) * top + weight
+    kind = np.int16 if reach < 1 << 15 else np.int64
+    h, w = a.shape[0] - 2, a.shape[1] - 2
+    wide = a.astype(kind)
+    total = np.full((h, w, a.shape[2]), weight // 2, kind)
+    for k in sorted({k for row in kernel for k in row} - {0}):
+        # Neighbours of one coefficient are added first and multiplied once.
+        places = [(y, x) for y, row in enumerate(kernel) for x, v in enumerate(row) if v == k]
+        same = np.zeros_like(total)
+        for y, x in places:
+            same += wide[y : y + h, x : x + w]
+        if k != 1:
+            same *= k
+        total += same
+    if weight != 1:
+        # Below zero the cut makes up for the difference between whole division and rounding down.
+        total //= weight
+    out[1:-1, 1:-1] = np.clip(total, 0, top)
+    return out
+
+
+def boxed_down(a: np.ndarray, factor: int, rounded: bool = True) -> np.ndarray | None:
+    h, w, bands = a.shape
+    if h % factor or w % factor:
+        return None
+    half = factor * factor // 2 if rounded else 0
+    return (a.reshape(h // factor, factor, w // factor, factor, bands).sum(axis=(1, 3), dtype=np.int64) + half) // (factor * factor)
+
+
+def scaled_up(a: np.ndarray, factor: int, top: int = 255) -> np.ndarray:
+    h, w, bands = a.shape
+    kind = np.int32 if 2 * factor * factor * (top + 1) < 1 << 31 else np.int64
+    a = a.astype(kind)
+    right = np.concatenate([a[:, 1:], a[:, -1:]], axis=1)
+    out = np.empty((h, factor, w, factor, bands), kind)
+    half = factor * factor
+    for dx in range(factor):
+        row = a * (factor - dx) + right * dx if dx else a * factor
+        below = np.concatenate([row[1:], row[-1:]], axis=0)
+        for dy in range(factor):
+            v = row * (2 * (factor - dy)) + below * (2 * dy) if dy else row * (2 * factor)
+            v += half
+            v //= 2 * half
+            out[:, dy, :, dx] = v
+    return np.minimum(out, top).reshape(h * factor, w * factor, bands)
+
+
+def picked(a: np.ndarray, to_width: int, to_height: int) -> np.ndarray:
+    h, w, _ = a.shape
+    return a[np.arange(to_height) * h // to_height][:, np.arange(to_width) * w // to_width]
+
+
+def mixed(a: np.ndarray, m, top: int = 255) -> np.ndarray:
+    r, g, b = (a[:, :, i].astype(np.float64) for i in range(BANDS))
+    return np.stack([np.clip(np.floor(float(x) * r + float(y) * g + float(z) * b + 0.5), 0, top) for x, y, z in m], axis=2).astype(np.int64)
+
+
+def yuv420(a: np.ndarray) -> np.ndarray:
+    """Planar Y, U, V in one dimension; dimensions are even."""
+    whole = lambda r, g, b, p: (p[0] * r + p[1] * g + p[2] * b).astype(np.int64)
+    wide = [a[:, :, i].astype(np.int64) for i in range(BANDS)]
+    mean = [(c[0::2, 0::2] + c[0::2, 1::2] + c[1::2, 0::2] + c[1::2, 1::2]) // 4 for c in wide]
+    return np.concatenate([(16 + whole(*wide, (0.257, 0.504, 0.098))).ravel(), (128 + whole(*mean, (-0.148, -0.291, 0.439))).ravel(), (128 + whole(*mean, (0.439, -0.368, -0.071))).ravel()])
+
+
+# Kernels as columns over arrays of samples.
+
 
+def _lists(values: list[np.ndarray | None]) -> pa.Array:
+    flat = [v.reshape(-1).astype(np.int32) if v is not None else None for v in values]
+    offsets = np.zeros(len(flat) + 1, np.int64)
+    np.cumsum([0 if v is None else len(v) for v in flat], out=offsets[1:])
+    if offsets[-1] >= 1 << 31:
+        raise ValueError("a batch of frames has over 2^31 samples")
+    kept = [v for v in flat if v is not None]
+    body = pa.array(np.concatenate(kept) if kept else np.empty(0, np.int32), pa.int32())
+    missing = pa.array([v is None for v in flat]) if len(kept) < len(flat) else None
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), body, mask=missing)
 
-def _div(a, b) -> Column:
-    return F.call_function("div", a if isinstance(a, Column) else F.lit(a), b if isinstance(b, Column) else F.lit(b)).cast("int")
 
+def _each(data: pa.Array):
+    for v in data:
+        yield v.values.to_numpy(zero_copy_only=False) if v.is_valid else None
 
-def _clamp(v: Column, top: int) -> Column:
-    return F.least(F.greatest(v, F.lit(0)), F.lit(top))
 
+def _over(kernel: Kernel, data: Column, width: Column, height: Column, bands: int = BANDS) -> Column:
+    """data of the frame that kernel makes; null where it makes none, or data, width or height is null."""
 
-def _half_up(v: Column) -> Column:
-    return F.floor(v + 0.5).cast("int")
+    @F.arrow_udf("array<int>")
+    def run(data: pa.Array, width: pa.Array, height: pa.Array) -> pa.Array:
+        out = []
+        for v, w, h in zip(_each(data), width.to_pylist(), height.to_pylist(), strict=True):
+            out.append(None if v is None or w is None or h is None else v if not len(v) else kernel(v.reshape(h, w, bands)))
+        return _lists(out)
 
+    return run(data, width, height)
 
-def _build(width: Column, height: Column, sample) -> Column:
-    """data of a frame from sample(y, x, band)."""
-    n = width * height * BANDS
 
-    def at(i):
-        band = F.pmod(i, F.lit(BANDS))
-        pixel = _div(i, BANDS)
-        return sample(_div(pixel, width), F.pmod(pixel, width), band).cast("int")
+def _made(kernel, *columns: Column) -> Column:
+    @F.arrow_udf("array<int>")
+    def run(*columns: pa.Array) -> pa.Array:
+        return _lists([None if None in row else kernel(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)])
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast("array<int>"))
+    return run(*(c if isinstance(c, Column) else F.lit(c) for c in columns))
 
 
-def _get(data: Column, width: Column, y: Column, x: Column, band: Column) -> Column:
-    return F.get(data, ((y * width + x) * BANDS + band).cast("int"))
+def _samples(kernel: Kernel, data: Column) -> Column:
+    """The same for kernels that don't ask where a sample stands."""
+
+    @F.arrow_udf("array<int>")
+    def run(data: pa.Array) -> pa.Array:
+        return _lists([None if v is None else kernel(v) for v in _each(data)])
+
+    return run(data)
 
 
 def gradient(width: int, height: int, r: Column, g: Column, b: Column) -> Column:
     """red grows with x, green with y, blue is flat; samples wrap at 256."""
-    return _build(F.lit(width), F.lit(height), lambda y, x, band: F.pmod(F.when(band == 0, r + x).when(band == 1, g + y).otherwise(b), F.lit(256)))
+    return _made(lambda r, g, b: gradient_frame(width, height, r, g, b), r, g, b)
+
+
+def gradient_frame(width: int, height: int, r: int, g: int, b: int) -> np.ndarray:
+    out = np.empty((height, width, BANDS), np.uint8)
+    out[:, :, 0] = ((np.arange(width) + r) & 255)[None, :]
+    out[:, :, 1] = ((np.arange(height) + g) & 255)[:, None]
+    out[:, :, 2] = b & 255
+    return out
 
 
 def gradient48(width: int, height: int) -> Column:
-    return _build(F.lit(width), F.lit(height), lambda y, x, band: F.pmod(F.when(band == 0, 200 * x).when(band == 1, 200 * y).otherwise(127 * 256), F.lit(65536)))
+    def frame(_):
+        out = np.empty((height, width, BANDS), np.int64)
+        out[:, :, 0] = (200 * np.arange(width) & 65535)[None, :]
+        out[:, :, 1] = (200 * np.arange(height) & 65535)[:, None]
+        out[:, :, 2] = 127 * 256
+        return out
+
+    return _made(frame, F.lit(0))
 
 
 def constant(width: int, height: int, r: int, g: int, b: int) -> Column:
@@ -57,78 +187,55 @@ def constant(width: int, height: int, r: int, g: int, b: int) -> Column:
 
 def convolve(data: Column, width: Column, height: Column, kernel, weight: int, top: int = 255) -> Column:
     """3 x 3 convolution: whole division of the sum plus half the weight, cut to the range; the border is copied."""
-
-    def sample(y, x, band):
-        total = sum((F.lit(k) * _get(data, width, y + dy, x + dx, band) for dy, row in zip((-1, 0, 1), kernel, strict=True) for dx, k in zip((-1, 0, 1), row, strict=True)), F.lit(0))
-        border = (y == 0) | (x == 0) | (y == height - 1) | (x == width - 1)
-        return F.when(border, _get(data, width, y, x, band)).otherwise(_clamp(_div(total + weight // 2, weight), top))
-
-    return _build(width, height, sample)
+    return _over(lambda a: convolved(a, kernel, weight, top), data, width, height)
 
 
 def box_down(data: Column, width: Column, height: Column, factor: int, rounded: bool = True) -> Column:
     """Mean of factor x factor samples; null where a dimension isn't a multiple."""
-    half = factor * factor // 2 if rounded else 0
-
-    def sample(y, x, band):
-        total = sum((_get(data, width, y * factor + dy, x * factor + dx, band) for dy in range(factor) for dx in range(factor)), F.lit(0))
-        return _div(total + half, factor * factor)
-
-    return F.when((width % factor == 0) & (height % factor == 0), _build(_div(width, factor), _div(height, factor), sample))
+    return _over(lambda a: boxed_down(a, factor, rounded), data, width, height)
 
 
 def bilinear_up(data: Column, width: Column, height: Column, factor: int, top: int = 255) -> Column:
     """Weights by the place between neighbours; the last row and column repeat themselves; rounded half up."""
-
-    def sample(y, x, band):
-        y0, x0 = _div(y, factor), _div(x, factor)
-        y1, x1 = F.least(y0 + 1, height - 1), F.least(x0 + 1, width - 1)
-        fy, fx = (y - y0 * factor) / float(factor), (x - x0 * factor) / float(factor)
-        v = (1 - fy) * ((1 - fx) * _get(data, width, y0, x0, band) + fx * _get(data, width, y0, x1, band)) + fy * (
-            (1 - fx) * _get(data, width, y1, x0, band) + fx * _get(data, width, y1, x1, band)
-        )
-        return _clamp(_half_up(v), top)
-
-    return _build(width * factor, height * factor, sample)
+    return _over(lambda a: scaled_up(a, factor, top), data, width, height)
 
 
 def nearest(data: Column, width: Column, height: Column, to_width: int, to_height: int) -> Column:
-    return _build(F.lit(to_width), F.lit(to_height), lambda y, x, band: _get(data, width, _div(y * height, to_height), _div(x * width, to_width), band))
+    return _over(lambda a: picked(a, to_width, to_height), data, width, height)
 
 
 def replicate(data: Column, width: Column, height: Column, times: int = 2) -> Column:
-    return _build(width * times, height * times, lambda y, x, band: _get(data, width, _div(y, times), _div(x, times), band))
+    return _over(lambda a: a.repeat(times, axis=0).repeat(times, axis=1), data, width, height)
 
 
 def colour_matrix(data: Column, width: Column, height: Column, m, top: int = 255) -> Column:
-    def sample(y, x, band):
-        row = lambda i: sum((F.lit(float(m[i][j])) * _get(data, width, y, x, F.lit(j)) for j in range(BANDS)), F.lit(0.0))
-        return _clamp(_half_up(F.when(band == 0, row(0)).when(band == 1, row(1)).otherwise(row(2))), top)
-
-    return _build(width, height, sample)
+    return _over(lambda a: mixed(a, m, top), data, width, height)
 
 
 def channel_gain(data: Column, gains, top: int = 255) -> Column:
-    g = F.array(*(F.lit(float(x)) for x in gains))
-    return F.transform(data, lambda v, i: _clamp(F.floor(v * F.get(g, F.pmod(i, F.lit(BANDS)))).cast("int"), top))
+    def gained(v):
+        g = np.resize(np.asarray(gains, np.float64), len(v))
+        return np.clip(np.floor(v * g), 0, top).astype(np.int64)
+
+    return _samples(gained, data)
 
 
 def depth_24_to_48(data: Column) -> Column:
-    return F.transform(data, lambda v: v * 255)
+    return _samples(lambda v: v.astype(np.int32) * 255, data)
 
 
 def depth_48_to_24(data: Column) -> Column:
-    return F.transform(data, lambda v: _div(v, 255).bitwiseAND(255))
+    return _samples(lambda v: v // 255 & 255, data)
 
 
 def depth_reduce(data: Column) -> Column:
     """The high byte."""
-    return F.transform(data, lambda v: F.shiftright(v, 8))
+    return _samples(lambda v: v >> 8, data)
 
 
 def alpha_strip(data: Column) -> Column:
     """Every fourth sample goes."""
-    return F.filter(data, lambda v, i: F.pmod(i, F.lit(4)) < 3)
+    return _samples(lambda v: v[np.arange(len(v)) % 4 < 3], data)
 
 
 def slice_rows(data: Column, width: Column, start: Column, end: Column) -> Column:
@@ -137,23 +244,74 @@ def slice_rows(data: Column, width: Column, start: Column, end: Column) -> Colum
 
 def checksum(data: Column) -> Column:
     """Sum of samples as signed bytes."""
-    return F.aggregate(data, F.lit(0).cast("long"), lambda a, v: a + F.when(v > 127, v - 256).otherwise(v))
+
+    @F.arrow_udf("bigint")
+    def run(data: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else int(v.astype(np.uint8).view(np.int8).sum(dtype=np.int64)) for v in _each(data)], pa.int64())
+
+    return run(data)
 
 
 def to_yuv420(data: Column, width: Column, height: Column) -> Column:
     """Planar Y, U, V: luma for each pixel, chroma from whole means of 2 x 2 pixels (even dimensions)."""
-    mean = lambda y, x, band: _div(
-        _get(data, width, 2 * y, 2 * x, F.lit(band)) + _get(data, width, 2 * y, 2 * x + 1, F.lit(band)) + _get(data, width, 2 * y + 1, 2 * x, F.lit(band)) + _get(data, width, 2 * y + 1, 2 * x + 1, F.lit(band)), 4
-    )
-    luma = F.transform(
-        F.sequence(F.lit(0), width * height - 1), lambda i: 16 + (0.257 * F.get(data, i * 3) + 0.504 * F.get(data, i * 3 + 1) + 0.098 * F.get(data, i * 3 + 2)).cast("int")
-    )
-    half = _div(width, 2)
-
-    def chroma(r: float, g: float, b: float):
-        return F.transform(
-            F.sequence(F.lit(0), _div(width * height, 4) - 1),
-            lambda i: 128 + (r * mean(_div(i, half), F.pmod(i, half), 0) + g * mean(_div(i, half), F.pmod(i, half), 1) + b * mean(_div(i, half), F.pmod(i, half), 2)).cast("int"),
-        )
-
-    return F.concat(luma, chroma(-0.148, -0.291, 0.439), chroma(0.439, -0.368, -0.071))
+    return _over(yuv420, data, width, height)
+
+
+# Packed frames: one binary each, big-endian bits, width and height before the samples.
+
+
+def raw_bytes(width: int, height: int, bits: int, data) -> bytes:
+    return struct.pack(">iii", bits, width, height) + np.asarray(data).astype("u1" if bits == 24 else ">u2").tobytes()
+
+
+def raw_array(raw: bytes | None) -> np.ndarray | None:
+    """The samples as height x width x 3 array; None for anything malformed."""
+    if raw is None or len(raw) < 12:
+        return None
+    bits, w, h = struct.unpack(">iii", raw[:12])
+    if bits not in (24, 48) or w < 0 or h < 0 or len(raw) < 12 + w * h * bits // 8:
+        return None
+    return np.frombuffer(raw, "u1" if bits == 24 else ">u2", w * h * BANDS, 12).reshape(h, w, BANDS)
+
+
+def packed_gradient(width: int, height: int, r: Column, g: Column, b: Column) -> Column:
+    @F.arrow_udf("binary")
+    def run(r: pa.Array, g: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([raw_bytes(width, height, 24, gradient_frame(width, height, *x)) for x in zip(r.to_pylist(), g.to_pylist(), b.to_pylist(), strict=True)], pa.binary())
+
+    return run(r, g, b)
+
+
+def deflated(a: np.ndarray) -> bytes:
+    """The stand-in for an image codec: the frame in raw format, deflated."""
+    return zlib.compress(raw_bytes(a.shape[1], a.shape[0], 24, a), 1)
+
+
+def chain(packed: Column, *steps: Kernel) -> Column:
+    """A packed 24-bit frame through kernels, one after another; the last may make bytes of its own (deflated).
+
+    Null for frames that can't be read and where a kernel makes none.
+    """
+
+    @F.arrow_udf("binary")
+    def run(packed: pa.Array) -> pa.Array:
+        out = []
+        for raw in packed:
+            a = raw_array(raw.as_py())
+            for step in steps:
+                a = None if a is None else step(a)
+            out.append(a if a is None or isinstance(a, bytes) else raw_bytes(a.shape[1], a.shape[0], 24, a))
+        return pa.array(out, pa.binary())
+
+    return run(packed)
+
+
+def packed_checksum(packed: Column) -> Column:
+    """Sum of the samples of a packed 24-bit frame as signed bytes; null for frames that can't be read."""
+
+    @F.arrow_udf("bigint")
+    def run(packed: pa.Array) -> pa.Array:
+        frames = (raw_array(x.as_py()) for x in packed)
+        return pa.array([None if a is None else int(a.astype(np.uint8).view(np.int8).sum(dtype=np.int64)) for a in frames], pa.int64())
+
+    return run(packed)

@@ -14,7 +14,7 @@ WIDTH, HEIGHT, FRAMES = 32, 24, 4
 def gradient_frames(spark, frames: int = FRAMES, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:
     """Frame n starts its bands at n, n div 10 and n div 100."""
     n = F.col("frameno")
-    return spark.range(frames).select(
+    return px.bounded(spark).range(frames).select(
         F.col("id").cast("int").alias("frameno"),
     ).select("frameno", F.lit(width).alias("width"), F.lit(height).alias("height"), px.gradient(width, height, n * 37, F.call_function("div", n * 101, F.lit(10)).cast("int"), n * 5).alias("data"))
 
@@ -86,15 +86,20 @@ def q_box(f):
     return pixels(f, px.box_down(D(), W(), H(), 2), F.lit(WIDTH // 2))
 
 
-@_frame_query(
-    "bilinear_upscale",
-    f"""SELECT a.frameno, (a.y * 2 + dy)::INT AS y, (a.x * 2 + dx)::INT AS x, a.band,
-       CAST(floor((1 - dy / 2) * ((1 - dx / 2) * a.v + dx / 2 * b.v) + dy / 2 * ((1 - dx / 2) * c.v + dx / 2 * e.v) + CAST(0.5 AS DOUBLE)) AS INT) AS v
-       FROM g a, range(2) p(dy), range(2) q(dx), g b, g c, g e
-       WHERE b.frameno = a.frameno AND b.band = a.band AND b.y = a.y AND b.x = least(a.x + 1, {WIDTH - 1})
-         AND c.frameno = a.frameno AND c.band = a.band AND c.x = a.x AND c.y = least(a.y + 1, {HEIGHT - 1})
-         AND e.frameno = a.frameno AND e.band = a.band AND e.x = least(a.x + 1, {WIDTH - 1}) AND e.y = least(a.y + 1, {HEIGHT - 1})""",
-)
+def _g_sql(n: str, y: str, x: str, band: str) -> str:
+    """A sample of the gradient, worked out in place."""
+    return f"(CASE {band} WHEN 0 THEN {n} * 37 + {x} WHEN 1 THEN {n} * 101 // 10 + {y} ELSE {n} * 5 END % 256)"
+
+
+def _up_sql(n: str, y: str, x: str, band: str, width: int, height: int) -> str:
+    """A sample of the gradient scaled up by 2: weights in halves, rounded half up."""
+    y0, x0, y1, x1 = f"({y}) // 2", f"({x}) // 2", f"least(({y}) // 2 + 1, {height - 1})", f"least(({x}) // 2 + 1, {width - 1})"
+    fy, fx = f"(({y}) % 2)", f"(({x}) % 2)"
+    v = lambda yy, xx: _g_sql(n, yy, xx, band)
+    return f"(((2 - {fy}) * ((2 - {fx}) * {v(y0, x0)} + {fx} * {v(y0, x1)}) + {fy} * ((2 - {fx}) * {v(y1, x0)} + {fx} * {v(y1, x1)}) + 2) // 4)"
+
+
+@_frame_query("bilinear_upscale", f"SELECT n::INT AS frameno, y::INT AS y, x::INT AS x, band::INT AS band, CAST({_up_sql('n', 'y', 'x', 'band', WIDTH, HEIGHT)} AS INT) AS v FROM range({FRAMES}) a(n), range({2 * HEIGHT}) b(y), range({2 * WIDTH}) c(x), range(3) d(band)")
 def q_bilinear(f):
     return pixels(f, px.bilinear_up(D(), W(), H(), 2), F.lit(WIDTH * 2))
 
@@ -114,9 +119,9 @@ MATRIX = ((0.25, 0.5, 0.25), (1.0, -0.5, 0.0), (0.0, 0.75, 0.5))
 
 @_frame_query(
     "colour_matrix",
-    """SELECT a.frameno, a.y, a.x, m.band::INT AS band, CAST(greatest(0, least(255, floor(CAST(m.r AS DOUBLE) * a.v + CAST(m.gg AS DOUBLE) * b.v + CAST(m.b AS DOUBLE) * c.v + CAST(0.5 AS DOUBLE)))) AS INT) AS v
-       FROM g a JOIN g b USING (frameno, y, x) JOIN g c USING (frameno, y, x), (VALUES (0, 0.25, 0.5, 0.25), (1, 1.0, -0.5, 0.0), (2, 0.0, 0.75, 0.5)) m(band, r, gg, b)
-       WHERE a.band = 0 AND b.band = 1 AND c.band = 2""",
+    """SELECT p.frameno, p.y, p.x, m.band::INT AS band, CAST(greatest(0, least(255, floor(CAST(m.r AS DOUBLE) * p.r + CAST(m.g AS DOUBLE) * p.g + CAST(m.b AS DOUBLE) * p.b + CAST(0.5 AS DOUBLE)))) AS INT) AS v
+       FROM (SELECT frameno, y, x, max(v) FILTER (band = 0) AS r, max(v) FILTER (band = 1) AS g, max(v) FILTER (band = 2) AS b FROM g GROUP BY frameno, y, x) p,
+            (VALUES (0, 0.25, 0.5, 0.25), (1, 1.0, -0.5, 0.0), (2, 0.0, 0.75, 0.5)) m(band, r, g, b)""",
 )
 def q_matrix(f):
     return pixels(f, px.colour_matrix(D(), W(), H(), MATRIX), W())
@@ -191,3 +196,44 @@ def q_clock_hand(spark, sf_dir):
     """Where a clock's hand ends in each of 30 frames, a turn being 25."""
     angle = 2 * F.pi() * F.col("id") / 25
     return spark.range(30).select(F.col("id").cast("int").alias("frame"), (180 + 100 * F.sin(angle) + 0.00001).cast("int").alias("x"), (144 - 100 * F.cos(angle) + 0.00001).cast("int").alias("y"))
+
+
+#: The recorded workload: frames of this size, scaled up by two, sharpened, encoded.
+VIDEO_WIDTH, VIDEO_HEIGHT, VIDEO_FACTOR = 720, 576, 2
+
+
+def video_frames(spark, frames: int, per_task: int = 8, width: int = VIDEO_WIDTH, height: int = VIDEO_HEIGHT) -> DataFrame:
+    """frameno and packed frame, generated where they are worked on."""
+    n = F.col("frameno")
+    numbers = px.bounded(spark).range(0, frames, 1, max(1, min(frames, -(-frames // per_task)))).select(F.col("id").cast("int").alias("frameno"))
+    return numbers.select("frameno", px.packed_gradient(width, height, n * 37, F.call_function("div", n * 101, F.lit(10)).cast("int"), n * 5).alias("frame"))
+
+
+def _sharp(a):
+    return px.convolved(a, px.SHARPEN, 1)
+
+
+def _twice(a):
+    return px.scaled_up(a, VIDEO_FACTOR)
+
+
+def video_workload(spark, frames: int, per_task: int = 8) -> DataFrame:
+    """frameno and encoded frame: generate, scale up, sharpen, encode; a frame never leaves its task."""
+    return video_frames(spark, frames, per_task).select("frameno", px.chain(F.col("frame"), _twice, _sharp, px.deflated).alias("encoded"))
+
+
+def _video_sql(frames: int) -> str:
+    w, h = VIDEO_WIDTH * VIDEO_FACTOR, VIDEO_HEIGHT * VIDEO_FACTOR
+    up = lambda dy, dx: _up_sql("n", f"y + {dy}", f"x + {dx}", "band", VIDEO_WIDTH, VIDEO_HEIGHT)
+    around = " + ".join(up(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx)
+    return f"""SELECT n::INT AS frameno, {w} AS width, {h} AS height, CAST(sum(CASE WHEN v > 127 THEN v - 256 ELSE v END) AS BIGINT) AS total
+      FROM (SELECT n, CASE WHEN y IN (0, {h - 1}) OR x IN (0, {w - 1}) THEN {up(0, 0)} ELSE greatest(0, least(255, 9 * {up(0, 0)} - ({around}))) END AS v
+            FROM range({frames}) a(n), range({h}) b(y), range({w}) c(x), range(3) d(band)) GROUP BY n"""
+
+
+@query("video_workload", _video_sql(2))
+def q_video(spark, sf_dir):
+    """The recorded workload on two frames of its size: dimensions and checksum of what the encoder is given."""
+    frames = video_frames(spark, 2, 1).select("frameno", px.chain(F.col("frame"), _twice, _sharp).alias("frame"))
+    big = lambda at: F.conv(F.hex(F.substring("frame", at, 4)), 16, 10).cast("int")
+    return frames.select("frameno", big(5).alias("width"), big(9).alias("height"), px.packed_checksum(F.col("frame")).alias("total"))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from millrace.functions.pixels import bounded, raw_array, raw_bytes
+
 FRAME = T.StructType(
     [T.StructField(n, T.IntegerType()) for n in ("width", "height", "bits")] + [T.StructField("data", T.ArrayType(T.IntegerType()))]
 )
@@ -41,21 +43,9 @@ def ppm_frame(raw: bytes | None) -> tuple | None:
     return w, h, 24 if top == 255 else 48, np.frombuffer(body, "u1" if top == 255 else ">u2").astype(np.int32)
 
 
-def raw_bytes(width: int, height: int, bits: int, data) -> bytes:
-    """Big-endian bits, width, height, then the samples."""
-    return struct.pack(">iii", bits, width, height) + np.asarray(data).astype("u1" if bits == 24 else ">u2").tobytes()
-
-
 def raw_frame(raw: bytes | None) -> tuple | None:
-    if raw is None or len(raw) < 12:
-        return None
-    bits, w, h = struct.unpack(">iii", raw[:12])
-    if bits not in (24, 48) or w < 0 or h < 0:
-        return None
-    size = w * h * 3 * bits // 24
-    if len(raw) < 12 + size:
-        return None
-    return w, h, bits, np.frombuffer(raw[12 : 12 + size], "u1" if bits == 24 else ">u2").astype(np.int32)
+    a = raw_array(raw)
+    return None if a is None else (a.shape[1], a.shape[0], 24 if a.itemsize == 1 else 48, a.reshape(-1).astype(np.int32))
 
 
 def png_frame(raw: bytes | None) -> tuple | None:
@@ -135,7 +125,7 @@ def encoded(width: Column, height: Column, bits: Column, data: Column, kind: str
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """path and frame of image files by suffix (.ppm, .raw, .png); other files have a null frame, empty ones no row."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = bounded(spark).read.format("binaryFile").load(path).select("path", "content")
     by_suffix = F.when(F.col("path").endswith(".ppm"), decoded(F.col("content"), "ppm")).when(F.col("path").endswith(".raw"), decoded(F.col("content"), "raw")).when(F.col("path").endswith(".png"), decoded(F.col("content"), "png"))
     return files.withColumn("frame", by_suffix).select("path", "frame.*")
 
