@@ -33,8 +33,8 @@ WILD = "<*>"
 SPACE = r"[\x20\x09-\x0D]+"
 #: A token with a digit, from its first character on; possessive, so that a token is looked at once.
 VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
-#: The start of a line that has a token.
-SAID = r"(?dm)^[\x20\x09\x0B-\x0D]*+[^\x20\x09-\x0D]"
+#: What is left of a line from its first token on.
+SAID = r"[^\x20\x09-\x0D][^\n]*+"
 #: A key with a 256th of all rows is hot; there are 256 at most.
 HOT = 256
 #: Kinds of a leaf that share one copy of its constants.
@@ -42,12 +42,13 @@ SALT_KINDS = 1000
 
 
 def _masked(said: Column) -> Column:
-    return F.regexp_replace(said, VARIABLE, WILD)
+    """A _plain line with its variables replaced; most lines have none and are only looked through."""
+    return F.when(said.rlike("[0-9]"), F.regexp_replace(said, VARIABLE, WILD)).otherwise(said)
 
 
 def _plain(said: Column) -> Column:
-    """The tokens of a line, joined by single spaces."""
-    return F.btrim(F.regexp_replace(said, SPACE, " "))
+    """The tokens of a line, joined by single spaces; most lines are so already."""
+    return F.btrim(F.when(said.rlike(r"\x20\x20|[\x09-\x0D]"), F.regexp_replace(said, SPACE, " ")).otherwise(said))
 
 
 def _count(said: Column, token: str) -> Column:
@@ -142,18 +143,14 @@ def drop_templates(docs: DataFrame) -> DataFrame:
     lines, kinds, hot = recurring(docs)
     gone = hot_join(lines.select("row", "line", "kind"), kinds, "kind", hot).groupBy(F.col("row").alias("_row")).agg(F.collect_set("line").alias("_gone"))
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "text")]
-    lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    rest = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    return (
-        docs.withColumn("_row", _row())
-        .join(gone, "_row", "left")
-        .select(
-            *kept_columns,
-            F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest).alias("text"),
-            F.coalesce(F.regexp_count("text", F.lit(SAID)), F.lit(0)).cast("long").alias("n_lines"),
-            F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
-        )
+    marked = docs.withColumn("_row", _row()).join(gone, "_row", "left")
+    split = marked.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("text", "\n")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    return split.select(
+        *kept_columns,
+        F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")).alias("text"),
+        F.coalesce(F.regexp_count("text", F.lit(SAID)), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
