@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import U64, cut, small_batches, splitmix
+from millrace.llm._common import U64, cut, hot_join, small_batches, splitmix, stash
 from millrace.llm._graph import components
 
 WORDS = 5
@@ -26,6 +26,10 @@ PERCENT = 85
 #: 26 bands of 5: a pair at a similarity of 0.85 shares no band with probability 2.4e-7.
 BANDS, ROWS = 26, 5
 SLOTS = BANDS * ROWS
+#: An element with a 256th of all front rows is hot; there are 256 at most.
+HOT = 256
+#: Sets of one element that are paired in one task.
+SALT_SETS = 500
 #: Elements worked on at once: bounds the permutation matrix at this many times SLOTS bytes.
 CHUNK = 1 << 17
 
@@ -114,7 +118,7 @@ def sign(docs: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
             sizes = [len(s) for s in sets]
-            digest = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
+            digest = np.frombuffer(b"".join(map(digest_of, sets)), np.int64).reshape(-1, 2)
             bands = np.empty((len(sets), BANDS), np.int64)
             i = 0
             while i < len(sets):
@@ -138,20 +142,26 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
+def digest_of(elements: np.ndarray) -> bytes:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
+    """d1, d2 (digest) and elements of the set of each row."""
+
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([shingles(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["doc_id", "shingles"]
-            )
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            digest = np.frombuffer(b"".join(map(digest_of, sets)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["d1", "d2", "shingles"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, shingles binary")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "d1 long, d2 long, shingles binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
 
     def run(batches):
         for batch in batches:
@@ -174,37 +184,40 @@ def across(still: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     went apart by edits of their own have those edits in front and don't meet. Of the components that hold an element
     the one with most sets isn't joined with itself.
     """
-    rows = still.join(sets, "doc_id")
+    rows = still.join(sets, "node")
 
     def spread(batches):
         for batch in batches:
             elements = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
             sizes = [len(x) for x in elements]
-            ids = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("doc_id", "n_shingles", "component")]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(np.concatenate(elements))], names=["doc_id", "n", "component", "element"])
+            ids = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("node", "n_shingles", "component")]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(np.concatenate(elements))], names=["node", "n", "component", "element"])
 
-    spread_rows = rows.select("doc_id", "n_shingles", "component", "shingles").mapInArrow(spread, "doc_id long, n long, component long, element long")
+    spread_rows = rows.select("node", "n_shingles", "component", "shingles").mapInArrow(spread, "node long, n long, component long, element long")
     # Elements of one set only can't be common; they count as the front of their set.
     shared = spread_rows.groupBy("element").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
     front = (
         spread_rows.join(shared, "element")
-        .groupBy("doc_id", "n", "component")
+        .groupBy("node", "n", "component")
         .agg(F.sort_array(F.collect_list(F.struct("sets", "element"))).alias("common"))
         .withColumn("own", F.col("n") - F.size("common"))
         .withColumn("length", F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - F.col("own"))
         .where("length > 0")
-        .select("doc_id", "n", "component", "own", F.posexplode(F.slice("common", F.lit(1), F.col("length").cast("int"))).alias("i", "e"))
-        .select(F.col("e.element").alias("element"), "doc_id", "n", "component", (F.col("n") - F.col("own") - F.col("i")).alias("rest"))
+        .select("node", "n", "component", "own", F.posexplode(F.slice("common", F.lit(1), F.col("length").cast("int"))).alias("i", "e"))
+        .select(F.col("e.element").alias("element"), "node", "n", "component", (F.col("n") - F.col("own") - F.col("i")).alias("rest"))
     )
-    front = cut(front)
+    front = stash(front, "fronts")
     held = front.groupBy("element", "component").agg(F.count(F.lit(1)).alias("sets"))
-    main = held.groupBy("element").agg(F.max_by("component", F.struct("sets", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1").select("element", "main")
-    met = front.join(main, "element")
-    x = met.where("component != main").select("element", F.col("doc_id").alias("p"), F.col("n").alias("np"), F.col("component").alias("cp"), F.col("rest").alias("rp"))
-    y = met.select("element", F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("component").alias("cq"), F.col("rest").alias("rq"))
+    main = held.groupBy("element").agg(F.max(F.struct("sets", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("components"), F.sum("sets").alias("sets"))
+    main = stash(main.where("components > 1").select("element", "main", "sets"), "elements")
+    # An element that very many sets have is dealt to several tasks, both here and in the pairing.
+    met = hot_join(front, main, "element", main.where(F.col("sets") * HOT >= front.count()))
+    salts = F.ceil(F.col("sets") / SALT_SETS).cast("int")
+    x = met.where("component != main").select("element", F.pmod("node", salts).cast("int").alias("salt"), F.col("node").alias("p"), F.col("n").alias("np"), F.col("component").alias("cp"), F.col("rest").alias("rp"))
+    y = met.select("element", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("node").alias("q"), F.col("n").alias("nq"), F.col("component").alias("cq"), F.col("rest").alias("rq"))
     enough = F.least("rp", "rq") * (100 + percent) >= (F.col("np") + F.col("nq")) * percent
     sized = F.least("np", "nq") * 100 >= F.greatest("np", "nq") * percent
-    pairs = x.join(y, "element").where((F.col("cp") != F.col("cq")) & enough & sized)
+    pairs = x.join(y, ["element", "salt"]).where((F.col("cp") != F.col("cq")) & enough & sized)
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
@@ -212,40 +225,47 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs.
 
     A text without words, or a null one, has an empty set and is alone; so is a row with a null doc_id (its
-    component_id is null, and it is kept). Rows that repeat a doc_id share its group and are kept or not together.
-    Shorter texts than five words are one shingle. An empty table gives no rows; other columns aren't read.
+    component_id is null, and it is kept). Rows are compared by their own texts: rows that repeat a doc_id with another
+    text are links of their own, those that repeat the text too are one. component_id is the smallest doc_id of a row's
+    component, kept says that it is the row's own. Texts may be of any length; those under five words are one shingle. An
+    empty table gives no rows; other columns aren't read.
     """
-    signed = cut(sign(docs))
+    signed = cut(sign(docs)).withColumn("node", F.monotonically_increasing_id())  # stable: the rows have been written
     apart = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     alone = signed.where(apart).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     rest = signed.where(~apart)
 
-    # Classes of equal sets; the smallest doc_id stands for the class.
-    classes = cut(rest.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
-    banded = classes.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
-    crowded = banded.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where(F.col("a") < F.col("z")).select("band", "a")
+    # Classes of equal sets; a row's number stands for the class, so nothing depends on doc_ids being distinct.
+    classes = cut(rest.groupBy("d1", "d2", "n_shingles").agg(F.min("node").alias("node"), F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
+    banded = classes.select("node", "n_shingles", F.explode("bands").alias("band"))
+    crowded = banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where(F.col("a") < F.col("z")).select("band", "a")
     buckets = cut(banded.join(crowded, "band"))
     sized = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
     # First links: each class of a bucket with the bucket's smallest.
-    centre = classes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"))
-    star = buckets.where(F.col("a") < F.col("doc_id")).select("a", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb")).distinct()
+    centre = classes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"))
+    star = buckets.where(F.col("a") < F.col("node")).select("a", F.col("node").alias("b"), F.col("n_shingles").alias("nb")).distinct()
     star = cut(star.join(centre, "a").where(sized(F.col("na"), F.col("nb"))).select("a", "b"))
-    involved = buckets.select("doc_id").distinct()
-    sets = cut(sets_of(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi")).groupBy("doc_id").agg(F.first("shingles").alias("shingles")))
+    involved = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("d1", "d2", "node", "doc_id")
+    # One document of each class is read again; other texts of its doc_id fall out by their digest.
+    texts = docs.select("doc_id", "text").join(involved.select("doc_id").distinct(), "doc_id", "left_semi")
+    # Grouped by the digest too, which is how the rows lie after the join.
+    sets = cut(sets_of(texts).join(involved, ["d1", "d2"]).groupBy("d1", "d2", "node").agg(F.first("shingles").alias("shingles")).select("node", "shingles"))
     links = cut(confirm(star, sets, percent))
     found = components(links)
 
     # What is still apart in a bucket.
-    placed = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    placed = buckets.join(found, "node", "left").select("band", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    still = placed.join(mixed, "band", "left_semi").select("doc_id", "n_shingles", "component").distinct()
+    still = placed.join(mixed, "band", "left_semi").select("node", "n_shingles", "component").distinct()
     more = across(still, sets, percent).join(star, ["a", "b"], "left_anti")
     late = cut(confirm(more, sets, percent))
     if late.limit(1).collect():
         found = components(links.unionByName(late))
 
-    classed = classes.select("d1", "d2", F.col("doc_id").alias("node")).join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
+    classed = classes.select("d1", "d2", "node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = classed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    classed = classed.join(named, "component").select("d1", "d2", "component_id")
     grouped = rest.select("doc_id", "n_shingles", "d1", "d2").join(classed, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     return grouped.unionByName(alone)
 

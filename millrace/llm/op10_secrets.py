@@ -29,7 +29,7 @@ SAMPLE = 2000
 LEAST_VALUES = 20
 #: Longer values aren't learnt from (a prefix tree has a state for each of their characters); they are scored like others.
 LEARN_LENGTH = 256
-ALPHA = 0.5
+ALPHA = 0.05
 #: The least length of a candidate.
 MIN_LENGTH = 8
 #: A credential is so many bits more likely than an ordinary token, that is, its prior odds are one in a million.

@@ -225,6 +225,38 @@ def test_near_groups_of_drifting_copies(spark):
     assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None] == [(None, True)]
 
 
+def test_near_groups_compare_rows_not_ids(spark):
+    """Rows that share a doc_id and differ in their texts, in both orders; equal rows; an element that all sets have."""
+    w = [f"u{i}" for i in range(100)]
+    near = lambda *at: " ".join(f"z{i}" if i in at else x for i, x in enumerate(w))
+    rows = [(1, "one of a kind " * 5), (1, near()), (5, near(50)), (7, near(50, 51)), (7, near(50, 51)), (3, "a b c d e f g"), (3, "a b c d e f h"), (9, near(2, 30, 60, 90)), (None, near())]
+    rows += [(100 + i, "the very same start of " + " ".join(f"{i}-{j}" for j in range(6))) for i in range(40)]
+    named = [(i, t) for i, (d, t) in enumerate(rows) if d is not None]
+    by_row = brute.near_groups(named)
+    least = {}
+    for i, _ in named:
+        least[by_row[i][1]] = min(least.get(by_row[i][1], 1 << 60), rows[i][0])
+    expected = sorted((rows[i][0], by_row[i][0], least[by_row[i][1]], rows[i][0] == least[by_row[i][1]]) for i, _ in named)
+    for order in (rows, rows[::-1]):
+        got = op8.groups(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
+        assert sorted(tuple(r) for r in got if r["doc_id"] is not None) == expected
+
+
+def test_across_pairs_hot_elements(spark, monkeypatch):
+    """Sets whose common elements are in all of them, dealt to several tasks: the same pairs."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(60):
+        words = [f"c{j}" for j in range(40)]
+        for j in rng.integers(0, 40, 1 + i % 3):
+            words[int(j)] = f"x{i}-{j}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(op8, "SALT_SETS", 4)
+    monkeypatch.setattr(op8, "HOT", 1 << 20)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in op8.groups(spark.createDataFrame(rows, "doc_id long, text string"), 70).collect()}
+    assert got == brute.near_groups(rows, 70)
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(1)
     est = []
