@@ -3,7 +3,8 @@
 A source whose target is r times its size gives every document floor(r) copies and a fractional claim on one more.
 Two documents with fractional claims are paired: mass (in words) moves from one to the other, the direction drawn
 with the probability that keeps each claim's expectation, until one claim is 0 or 1. The words claimed stay the same
-at every step, so a whole block ends with one fractional claim at most. Blocks are worked through side by side, and
+at every step, so a whole block ends with one fractional claim at most. So that this is the claim of a small document,
+large ones are each paired with all smaller ones as one bundle. Blocks are worked through side by side, and
 what they leave over is paired again in a tree with a fixed fan-in, until each source has one claim, drawn at last.
 """
 
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import cut, splitmix, unit
+from millrace.llm._common import U64, cut, splitmix, unit
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -28,7 +29,10 @@ MAX_SOURCES = 100_000
 
 
 def word_count(text="text"):
-    return F.coalesce(F.length(F.regexp_replace(F.regexp_replace(F.col(text), r"[^\x20\x09-\x0D]+", "x"), r"[\x20\x09-\x0D]+", "")), F.lit(0)).cast("long")
+    """Runs of anything but ASCII white space; one pass over the text."""
+    said = F.btrim(F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]+", " "))
+    spaces = F.octet_length(said) - F.octet_length(F.replace(said, F.lit(" "), F.lit("")))
+    return F.coalesce(F.when(said != "", spaces + 1), F.lit(0)).cast("long")
 
 
 def targets_of(sizes: list[int], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -52,15 +56,14 @@ def targets_of(sizes: list[int], weights=WEIGHTS, share: float = SHARE, most: fl
     return target
 
 
-def round_block(key: np.ndarray, size: np.ndarray, claim: np.ndarray, draws: np.ndarray, last: bool) -> np.ndarray:
-    """Claims after pairing in the order given: 0 or 1, except one at most (none if `last`)."""
-    p = claim.astype(np.float64).tolist()
-    w, u = size.tolist(), draws.tolist()
-    eps, held = 1e-12, -1
-    for j in range(len(p)):
-        if p[j] <= eps or p[j] >= 1 - eps or w[j] <= 0:
-            # An empty document moves no words; its claim is drawn alone.
-            p[j] = float(u[j] < p[j]) if eps < p[j] < 1 - eps else float(round(p[j]))
+EPS = 1e-9
+
+
+def _pair(p: list, w: list, u: list, places) -> int:
+    """Pair the open claims at the places given, in their order; the place whose claim stays open, or -1."""
+    held = -1
+    for j in places:
+        if not EPS < p[j] < 1 - EPS:
             continue
         if held < 0:
             held = j
@@ -76,18 +79,78 @@ def round_block(key: np.ndarray, size: np.ndarray, claim: np.ndarray, draws: np.
             p[j] += down / w[j]
         held = -1
         for k in (i, j):
-            if p[k] <= 1e-9 or p[k] >= 1 - 1e-9:
-                p[k] = float(round(p[k]))
-            else:
+            if EPS < p[k] < 1 - EPS:
                 held = k
+            else:
+                p[k] = float(round(p[k]))
+    return held
+
+
+def _against_many(p: np.ndarray, w: np.ndarray, i: int, first: int, draws) -> None:
+    """Pair the claim at i with all open ones from `first` on as one bundle, until it is 0 or 1.
+
+    Words go to or come from all of the bundle in the same proportions, so every claim keeps its expectation. One draw
+    is enough if the bundle can take what the claim has; where it is too light the claim goes as far as it can, a few times.
+    """
+    pm, wm = p[first:], w[first:]
+    for u in draws:
+        if not EPS < p[i] < 1 - EPS:
+            break
+        part = pm * (1 - pm) * wm
+        total = part.sum()
+        if total <= EPS:
+            break
+        # In these proportions the bundle gives until its claim with most room is 0, and takes until the first is 1.
+        live = (pm > EPS) & (pm < 1 - EPS) & (wm > 0)
+        up = min((1 - p[i]) * w[i], total / float(np.max(1 - pm[live])))
+        down = min(p[i] * w[i], total / float(np.max(pm[live])))
+        moved = up if u * (up + down) < down else -down
+        p[i] += moved / w[i]
+        pm[live] -= moved * (pm * (1 - pm))[live] / total
+        pm[pm < EPS] = 0.0
+        pm[pm > 1 - EPS] = 1.0
+    if not EPS < p[i] < 1 - EPS:
+        p[i] = round(p[i])
+
+
+def round_block(key: np.ndarray, size: np.ndarray, claim: np.ndarray, draws: np.ndarray, last: bool) -> np.ndarray:
+    """Claims after pairing in the order given, largest first: 0 or 1, except one at most (none if `last`).
+
+    Each claim of the largest quarter is paired with all smaller ones as one bundle; then claims are paired one by one, and
+    what the middle leaves open meets the smallest quarter as a bundle before that is paired. So the claim left at the
+    end, and drawn if `last`, is one of a small document.
+    """
+    p, w = claim.astype(np.float64), size.astype(np.float64)
+    is_open = (p > EPS) & (p < 1 - EPS)
+    # An empty document moves no words; its claim is drawn alone.
+    p = np.where(is_open & (w > 0), p, np.where(is_open, draws < p, np.round(p)).astype(np.float64))
+    still = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+    q, v, u = p[still], w[still], draws[still]
+    n, quarter = len(still), len(still) // 4
+    more = lambda i: unit(splitmix(splitmix(U64(int(key[still[i]]) & (2**64 - 1))) ^ np.arange(2, 34, dtype=U64))).tolist()
+    for i in range(quarter):
+        _against_many(q, v, i, i + 1, more(i))
+
+    def paired(places) -> int:
+        nonlocal q
+        as_list = q.tolist()
+        held = _pair(as_list, v.tolist(), u.tolist(), places)
+        q = np.array(as_list)
+        return held
+
+    held = paired(range(n - quarter))
+    if held >= 0 and quarter:
+        _against_many(q, v, held, n - quarter, more(held))
+    held = paired([*([held] if held >= 0 else []), *range(n - quarter, n)])
     if last and held >= 0:
-        p[held] = float(unit(splitmix(splitmix(int(key[held]) & (2**64 - 1)) ^ np.uint64(1)))[()] < p[held])
-    return np.array(p)
+        q[held] = float(unit(splitmix(splitmix(int(key[still[held]]) & (2**64 - 1)) ^ U64(1)))[()] < q[held])
+    p[still] = q
+    return p
 
 
 def _rounder(level: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # Large ones first: what is left over at the end is then mostly a small one.
+        # Large ones first: what is left over at the end is then a small one.
         pdf = pdf.sort_values(["weight", "unit"], ascending=[False, True], kind="stable").reset_index(drop=True)
         key = pdf["unit"].to_numpy(np.int64)
         draws = unit(splitmix(key.astype(np.uint64) ^ splitmix(np.uint64(SEED + level))))
@@ -146,13 +209,15 @@ def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """docs with `size`, `source_size`, `target` and `copies`: how often the mix takes each row (0 or more)."""
+    """docs with `size`, `source_size`, `target` and `copies`: how often the mix takes each row (0 or more).
+
+    Columns of these names in docs are replaced, all others stay. Rows are matched by a hash of doc_id, source and text,
+    so null ids and ids with several texts are fine; a text may be of any length. An empty table gives no rows.
+    """
     plan = copies(docs, weights, share, most)
-    keyed = docs.withColumns({"_unit": F.xxhash64("doc_id", "source", "text"), "_size": word_count()})
-    clash = [c for c in ("size", "source_size", "target", "copies") if c in docs.columns]
-    kept = [c for c in docs.columns if c not in clash]
-    right = plan.select(F.col("unit").alias("_unit"), F.col("size").alias("_size"), "source_size", "target", "copies")
-    return keyed.drop(*clash).join(right, ["_unit", "_size"]).select(*kept, F.col("_size").alias("size"), "source_size", "target", "copies")
+    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
+    keyed = docs.select(*kept).withColumn("_unit", F.xxhash64("doc_id", "source", "text"))
+    return keyed.join(plan.withColumnRenamed("unit", "_unit"), "_unit").select(*kept, "size", "source_size", "target", "copies")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
