@@ -66,16 +66,52 @@ def test_pivotal_rounding_keeps_words_and_expectations():
     rng = np.random.default_rng(0)
     w = np.sort(rng.integers(1, 500, 300))[::-1].copy()
     hits, totals = np.zeros(300), []
-    for _ in range(200):
-        p = op2.round_block(np.arange(300), w, np.full(300, 0.3), rng.random(300), False)
+    for i in range(200):
+        p = op2.round_block(np.arange(300) + 1000 * i, w, np.full(300, 0.3), rng.random(300), False)
         assert ((p == 0) | (p == 1)).sum() >= 299 and (p * w).sum() == pytest.approx(0.3 * w.sum())
-        q = op2.round_block(np.arange(300), w, np.full(300, 0.3), rng.random(300), True)
+        q = op2.round_block(np.arange(300) + 1000 * i, w, np.full(300, 0.3), rng.random(300), True)
         assert set(q) <= {0.0, 1.0}
         hits += q
         totals.append((q * w).sum())
     assert abs(hits.mean() / 200 - 0.3) < 0.01 and np.abs(hits / 200 - 0.3).max() < 0.15
 
 
+def plain_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
+    """Raise one water level by bisection until the capped targets add up."""
+    w = [weights[i % 3] for i in range(len(sizes))]
+    lo, hi = 0.0, 4.0 * sum(sizes) + 1
+    for _ in range(200):
+        level = (lo + hi) / 2
+        lo, hi = (level, hi) if sum(min(most * s, level * x) for s, x in zip(sizes, w, strict=True)) < share * sum(sizes) else (lo, level)
+    return [min(most * s, lo * x) for s, x in zip(sizes, w, strict=True)]
+
+
+def test_mixing_targets_against_bisection():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3, 7, 40):
+        sizes = [int(x) for x in rng.pareto(1.1, n) * 100 + 1]
+        assert op2.targets_of(sizes) == pytest.approx(plain_targets(sizes), rel=1e-6)
+
+
+def test_pivotal_rounding_ends_on_a_small_document():
+    """A few documents hold most of the words: the miss is no more than a small one."""
+    rng = np.random.default_rng(9)
+    w = np.sort((rng.pareto(1.2, 800) * 50 + 20).astype(np.int64))[::-1].copy()
+    small = np.quantile(w, 0.25)
+    hits = np.zeros(800)
+    for i in range(300):
+        q = op2.round_block(np.arange(800) + 1000 * i, w, np.full(800, 0.37), rng.random(800), True)
+        assert abs((q * w).sum() - 0.37 * w.sum()) <= small
+        hits += q
+    assert abs(hits.mean() / 300 - 0.37) < 0.01 and np.abs(hits[:20].mean() / 300 - 0.37) < 0.05 and np.abs(hits[-200:].mean() / 300 - 0.37) < 0.02
+
+
+def test_mixing_keeps_rows_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b c", "s"), (None, "a b c", "s"), (None, "d e", None), (1, "a b", "s"), (1, "c d e f", "s"), (1, None, "s"), (2, "", "s"), (3, " \t\n", None)]
+    out = op2.mix(clashing(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"]), str(r["source"]), r["size"]) for r in out) == sorted((str(d), str(t), str(s), len((t or "").split())) for d, t, s in rows)
+
+
 def test_mixing_tree_leaves_nothing(docs, monkeypatch):
     monkeypatch.setattr(op2, "FAN_IN", 2)
     out = op2.copies(docs, block_rows=3).collect()
@@ -165,20 +201,84 @@ def test_token_rollup(docs, rows, spark, empty):
     assert got == {d: (len(enc.encode_ordinary(t or "")), len(brute.words(t))) for d, t, *_ in rows}
     assert all(enc.decode(enc.encode_ordinary(t or "")) == (t or "") for _, t, *_ in rows[:20])
 
-    roll = op6.TokenRollup(spark, scratch(spark, "rollup"))
-    one = lambda n, d=docs: d.select("source", "lang", F.lit("v1").alias("tokenizer"), F.lit(n).alias("tokens"))
-    roll.commit("a", op6.inserts(one(5)))
-    roll.commit("a", op6.inserts(one(5)))
+    assert op6.counted(clashing(empty)).collect() == [] and op6.counted(clashing(docs.unionByName(docs))).count() == 2 * len(rows)
+
+
+@pytest.mark.parametrize("fold_at", [2, 16])
+def test_token_rollup_totals(docs, rows, spark, empty, fold_at):
+    roll = op6.TokenRollup(spark, scratch(spark, "rollup"), fold_at)
+    assert roll.totals().collect() == []
+    one = lambda n, d=docs: clashing(d).select("source", "lang", F.lit("v1").alias("tokenizer"), F.lit(n).alias("tokens"), "docs" if "docs" in d.columns else F.lit("x").alias("docs"))
     n = Counter(r[3] for r in rows)
     total = lambda: {r["source"]: (r["docs"], r["tokens"]) for r in roll.totals().collect()}
+    assert roll.commit("a", op6.inserts(one(5)))
+    assert not roll.commit("a", op6.inserts(one(5)))
     assert total() == {k: (v, 5 * v) for k, v in n.items()}
-    roll.commit("b", op6.revisions(one(5), one(7)))
+    assert roll.commit("b", op6.revisions(one(5), one(7)))
     assert total() == {k: (v, 7 * v) for k, v in n.items()}
-    roll.commit("c", op6.deletes(one(7, docs.where("source = 's1'"))))
-    roll.commit("d", op6.inserts(one(7, empty)))
-    assert total() == {k: (v, 7 * v) for k, v in n.items() if k != "s1"}
-    with pytest.raises(ValueError):
-        roll.commit("../x", op6.inserts(one(1)))
+    assert roll.commit("c", op6.deletes(one(7, docs.where("source = 's1'"))))
+    assert roll.commit("d", op6.inserts(one(7, empty)))
+    assert roll.commit("e", op6.inserts(one(None, docs.where("source = 's2'")))) and not roll.commit("b", op6.inserts(one(1)))
+    expected = {k: (v * (2 if k == "s2" else 1), 7 * v) for k, v in n.items() if k != "s1"}
+    assert total() == expected
+    assert bool(roll._stored()) == (fold_at == 2) and len(roll._names("batches")) == (1 if fold_at == 2 else 5)
+    roll.fold()
+    roll.fold()
+    assert total() == expected and roll._names("batches") == [] and not roll.commit("c", op6.inserts(one(1)))
+    for name in ("../x", "_x", ".x", ""):
+        with pytest.raises(ValueError):
+            roll.commit(name, op6.inserts(one(1)))
+
+
+def test_token_rollup_survives_a_crash_anywhere(docs, rows, spark, monkeypatch):
+    """Fail at each step that touches the folder; the next run commits the same batches again."""
+    one = docs.select("source", "lang", F.lit("v1").alias("tokenizer"), F.lit(3).alias("tokens"))
+    n = len(rows)
+    for crash in range(12):
+        roll = op6.TokenRollup(spark, scratch(spark, "rollup"), fold_at=2)
+        steps = iter(range(1000))
+        doing = {"_settle": op6.TokenRollup._settle, "_tidy": op6.TokenRollup._tidy, "fold": op6.TokenRollup.fold, "_aside": op6.TokenRollup._aside}
+
+        def failing(name, steps=steps, crash=crash, doing=doing):
+            def run(self, *args):
+                if next(steps) == crash:
+                    raise OSError("lost")
+                return doing[name](self, *args)
+
+            return run
+
+        ended = False
+        with monkeypatch.context() as m:
+            for name in doing:
+                m.setattr(op6.TokenRollup, name, failing(name))
+            try:
+                for batch in ("a", "b", "c"):
+                    roll.commit(batch, op6.inserts(one))
+                ended = True
+            except OSError:
+                pass
+        assert roll.totals().agg(F.sum("docs")).first()[0] in (None, n, 2 * n, 3 * n)
+        for batch in ("a", "b", "c"):
+            roll.commit(batch, op6.inserts(one))
+        assert roll.totals().agg(F.sum("docs"), F.sum("tokens")).first() == (3 * n, 9 * n)
+        if ended:
+            break
+    assert ended and crash > 5
+
+
+def test_token_rollup_query_against_plain_version(spark, docs, rows, tmp_path):
+    import public_tokenizers
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    enc = op6._encoder(op6.VOCABULARY, public_tokenizers.PATTERN)
+    expected = defaultdict(lambda: [0, 0])
+    for _, t, lang, source, _ in rows:
+        words, bpe = len(brute.words(t)), len(enc.encode_ordinary(t or ""))
+        for tokenizer, tokens in (("words-2", words + 1), *([(op6.BPE, bpe)] if bpe >= 16 else [])):
+            expected[source, lang, tokenizer][0] += 1
+            expected[source, lang, tokenizer][1] += tokens
+    got = {(r["source"], r["lang"], r["tokenizer"]): [r["docs"], r["tokens"]] for r in op6.op6_token_rollup(spark, str(tmp_path)).collect()}
+    assert got == dict(expected)
 
 
 def test_quality(docs, pairs, empty, rows):
