@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import cut, small_batches
+from millrace.llm._common import cut, small_batches, stash
 
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
@@ -145,12 +145,12 @@ def measure(docs: DataFrame, *keep: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [features(t) for t in batch.column("text").to_pylist()]
+            found = [features(t) for t in batch.column("_text").to_pylist()]
             cols = list(zip(*found, strict=True)) if found else [[]] * len(FEATURES)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(c, pa.int64()) for c in cols)], names=[*keep, *FEATURES])
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), *(f"{f} long" for f in FEATURES)])
-    return docs.select(*keep, F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").cast("binary").alias("_text")).mapInArrow(run, schema)
 
 
 def judge(measured: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
@@ -171,17 +171,20 @@ def judge(measured: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
 def quality(docs: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
     """doc_id, FEATURES, votes, posterior, base_failed and kept of each row.
 
-    A null or empty text has no words and fails the base rules. Repeated rows are judged alike, each in its row; an
-    empty table gives no rows. Only doc_id and text are read.
+    A null or empty text has no words and fails the base rules. Texts may be of any length. Repeated rows are judged
+    alike, each in its row, and so are rows without a doc_id; an empty table gives no rows. Only doc_id and text are read.
     """
     return judge(cut(measure(docs, "doc_id")), keep_at)
 
 
 def reject(docs: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
-    """docs without the rows that aren't kept, all columns as they were."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    bad = judge(cut(measure(keyed, "_row")), keep_at).where(~F.col("kept")).select("_row").distinct()
-    return keyed.join(bad, "_row", "left_anti").select(*docs.columns)
+    """docs without the rows that aren't kept, all columns as they were, whatever they are called.
+
+    Rows are written with their counts and judged where they lie, so no text is shuffled.
+    """
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    measured = stash(measure(packed, "_row"), "measured")
+    return judge(measured, keep_at).where("kept").select("_row.*")
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:

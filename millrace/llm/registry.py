@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from millrace.llm.op01_sharding import op1_sharding
 from millrace.llm.op02_mixing import op2_mixing
 from millrace.llm.op03_decontaminate import ORACLE as OP3_SQL
@@ -30,7 +29,6 @@ def queries() -> dict:
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_main_text": op9_main_text,
         "op10_secret_scan": op10_secret_scan,
-        "pipeline": corpus_pipeline.run,
     }
 
 
