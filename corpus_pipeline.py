@@ -25,10 +25,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of eight words of any benchmark item go, and those with two shorter items."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = op03_decontaminate.find_contamination(keyed.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dirty = found.where(F.col("whole") | (F.size("items") >= op03_decontaminate.MIN_ITEMS)).select(F.col("doc_id").alias("_row")).distinct()
-    return keyed.join(dirty, "_row", "left_anti").select(*COLUMNS)
+    return op03_decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
