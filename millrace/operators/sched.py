@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.catalog import query
-from millrace.operators.order import day_bucket, with_previous
+from millrace.operators.order import day_bucket, range_bucket, with_previous, with_running_sum
 from millrace.session import table
 
 INFINITY = float("inf")
@@ -73,8 +73,13 @@ def q_best_worker(spark, sf_dir):
 def q_dispatch_order(spark, sf_dir):
     """Each worker's queue in order of hierarchical ids; arrays compare element by element, shorter first."""
     jobs = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.array("l_orderkey", F.col("l_linenumber").cast("long")).alias("ids")).agg(F.count(F.lit(1)).alias("copies"))
-    place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("ids")).alias("place")
-    return jobs.select("l_suppkey", F.col("ids")[0].alias("l_orderkey"), F.col("ids")[1].cast("int").alias("l_linenumber"), "copies", place)
+    return in_queue_order(jobs, ["l_suppkey"], "ids").select("l_suppkey", F.col("ids")[0].alias("l_orderkey"), F.col("ids")[1].cast("int").alias("l_linenumber"), "copies", "place")
+
+
+def in_queue_order(jobs: DataFrame, queue: list[str], ids: str) -> DataFrame:
+    """jobs with their place (from 1) in their queue by id; ranges of the first id are numbered side by side."""
+    first = jobs.withColumns({"_first": F.col(ids)[0], "_one": F.lit(1)})
+    return with_running_sum(first, queue, range_bucket(first, "_first"), [ids], "_one", "place").drop("_first", "_one")
 
 
 def dispatch(queue: DataFrame, free: DataFrame, kind: str, ids: str) -> DataFrame:
@@ -94,6 +99,32 @@ def q_dispatch_step(spark, sf_dir):
     return dispatch(queue, free, "l_returnflag", "ids").select("l_returnflag", F.col("ids")[0].alias("orderkey"))
 
 
+def dispatch_scan(queue: DataFrame, free: DataFrame, kind: str, ids: str) -> DataFrame:
+    """Dispatch until nothing more can be: jobs go in id order, each takes a free worker of its type, and a type that has
+    none left is passed over. The jobs that go, with turn (from 1) in the order they go in.
+
+    Types are few (free has a row for each), queues are long, so places in a queue are numbered by ranges of ids.
+    """
+    able = queue.join(F.broadcast(free.where("free > 0").select(kind, "free")), kind)
+    taken = in_queue_order(able, [kind], ids).where(F.col("place") <= F.col("free")).drop("place", "free")
+    return in_queue_order(taken.withColumn("_all", F.lit(0)), ["_all"], ids).withColumnRenamed("place", "turn").drop("_all")
+
+
+@query(
+    "dispatch_scan",
+    """WITH f AS (SELECT l_returnflag, 100 * (count(DISTINCT l_suppkey) % 7) AS free FROM lineitem GROUP BY l_returnflag),
+       q AS (SELECT l_returnflag, o AS orderkey, n AS linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY o, n) AS place
+             FROM (SELECT DISTINCT l_returnflag, l_orderkey AS o, l_linenumber AS n FROM lineitem))
+       SELECT l_returnflag, orderkey, linenumber, row_number() OVER (ORDER BY orderkey, linenumber, l_returnflag) AS turn FROM q JOIN f USING (l_returnflag) WHERE place <= free""",
+)
+def q_dispatch_scan(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    flag = F.ascii("l_returnflag").cast("long")
+    queue = lines.select("l_returnflag", F.array("l_orderkey", F.col("l_linenumber").cast("long"), flag).alias("ids")).distinct()
+    free = lines.groupBy("l_returnflag").agg((100 * F.pmod(F.countDistinct("l_suppkey"), F.lit(7))).alias("free"))
+    return dispatch_scan(queue, free, "l_returnflag", "ids").select("l_returnflag", F.col("ids")[0].alias("orderkey"), F.col("ids")[1].cast("int").alias("linenumber"), "turn")
+
+
 @query(
     "remaining_time",
     """WITH c AS (SELECT l_returnflag AS job_type, l_linenumber AS stage, l_suppkey % 5 AS node, avg(l_tax) + (1 + count(*)) * avg(l_discount) + avg(l_quantity) AS s FROM lineitem GROUP BY ALL),
@@ -115,6 +146,50 @@ def remaining_time(stages: DataFrame, kind: str, stage: str, seconds: str, maste
     return stages.select(kind, stage, F.round(F.sum(F.col(seconds) + master_queue).over(tail), 6).alias("remaining_s"))
 
 
+def remaining_time_from(links: DataFrame, costs: DataFrame, kind: str, stage: str, master_queue: float) -> DataFrame:
+    """kind, stage, node and remaining_s: seconds to the end of a job that stands at the node before the stage.
+
+    links (src, dst, transmission) says how long sending takes, costs (kind, stage, node, seconds) what a node needs for a
+    stage. Back to front, one join for each stage: the best target of a stage counts with its own time for what follows.
+    """
+    last = costs.agg(F.max(stage)).first()[0]
+    first = costs.agg(F.min(stage)).first()[0]
+    after, out = None, None
+    for i in range(last or 0, (first or 0) - 1, -1):
+        here = costs.where(F.col(stage) == i).select(kind, F.col("node").alias("dst"), "seconds")
+        if after is not None:
+            here = here.join(after.select(kind, F.col("node").alias("dst"), F.col("remaining_s").alias("rest")), [kind, "dst"], "left")
+        rest = F.coalesce("rest", F.lit(0.0)) if after is not None else F.lit(0.0)
+        reached = links.join(here.select(kind, "dst", (F.col("seconds") + rest).alias("t")), "dst")
+        after = reached.groupBy(kind, F.col("src").alias("node")).agg((F.lit(master_queue) + F.min(F.col("transmission") + F.col("t"))).alias("remaining_s"))
+        one = after.select(kind, F.lit(i).alias(stage), "node", "remaining_s")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _remaining_sql(stages: int) -> str:
+    parts = []
+    for i in range(stages, 0, -1):
+        rest = "0" if i == stages else f"coalesce((SELECT r.t FROM t{i + 1} r WHERE r.job_type = c.job_type AND r.node = c.node), 0)"
+        parts.append(f"""t{i} AS (SELECT c.job_type, l.src AS node, CAST(0.2 AS DOUBLE) + min(l.transmission + c.s + {rest}) AS t FROM c JOIN l ON l.dst = c.node WHERE c.stage = {i} GROUP BY c.job_type, l.src)""")
+    picked = " UNION ALL ".join(f"SELECT job_type, {i} AS stage, node, round(t, 6) AS remaining_s FROM t{i}" for i in range(1, stages + 1))
+    return f"""WITH c AS (SELECT l_returnflag AS job_type, l_linenumber AS stage, l_suppkey % 5 AS node, (1 + count(*)) * avg(l_discount) + avg(l_quantity) AS s FROM lineitem GROUP BY ALL),
+       l AS (SELECT s AS src, d AS dst, CASE WHEN s = d THEN 0 ELSE CAST(0.5 AS DOUBLE) * abs(s - d) END AS transmission FROM range(5) a(s), range(5) b(d)),
+       {", ".join(parts)} {picked}"""
+
+
+@query("remaining_time_nodes", _remaining_sql(7))
+def q_remaining_time_nodes(spark, sf_dir):
+    """The same where sending takes longer the farther apart nodes are, so each node has its own remaining time."""
+    c = F.col
+    costs = table(spark, sf_dir, "lineitem").groupBy(c("l_returnflag").alias("job_type"), c("l_linenumber").alias("stage"), F.pmod("l_suppkey", F.lit(5)).alias("node")).agg(
+        ((1 + F.count(F.lit(1))) * F.avg("l_discount") + F.avg("l_quantity")).alias("seconds")
+    )
+    nodes = spark.range(5)
+    links = nodes.select(c("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(4)).cast("array<long>")).alias("dst")).withColumn("transmission", 0.5 * F.abs(c("src") - c("dst")))
+    return remaining_time_from(links, costs, "job_type", "stage", 0.2).withColumn("remaining_s", F.round("remaining_s", 6))
+
+
 @query(
     "queue_time",
     """WITH l AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)
@@ -130,16 +205,20 @@ def q_queue_time(spark, sf_dir):
     )
 
 
-def ew_log_estimator(samples: DataFrame, key: str, order: list[str], value: str, alpha: float, start: float) -> DataFrame:
+def ew_log_estimator(samples: DataFrame, key: str, bucket: Column, order: list[str], value: str, alpha: float, start: float) -> DataFrame:
     """Exponentially weighted mean of ln(sample) per key and its likely value.
 
-    m <- m + alpha * (ln x - m) over the key's samples, written out as a weighted sum, so that it is an aggregation.
+    m <- m + alpha * (ln x - m) over the key's samples, written out as a weighted sum. Buckets of a key's history are
+    summed up side by side; each then counts as much as the samples after it leave of it.
     """
-    age = F.row_number().over(Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in order))) - 1
-    w = samples.withColumn("_age", age)
-    decay = F.pow(F.lit(1 - alpha), F.col("_age"))
-    m = F.sum(F.lit(alpha) * decay * F.ln(value)) + F.pow(F.lit(1 - alpha), F.count(F.lit(1))) * start
-    return w.groupBy(key).agg(F.count(F.lit(1)).alias("samples"), F.round(m, 6).alias("log_mean"), F.round(F.exp(m), 4).alias("likely"))
+    keep = F.lit(1 - alpha)
+    placed = samples.withColumn("_b", bucket)
+    age = F.row_number().over(Window.partitionBy(key, "_b").orderBy(*(F.col(c).desc() for c in order))) - 1
+    parts = placed.withColumn("_age", age).groupBy(key, "_b").agg(F.count(F.lit(1)).alias("n"), F.sum(alpha * F.pow(keep, F.col("_age")) * F.ln(value)).alias("s"))
+    # One row for each key and bucket from here on.
+    later = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    m = F.sum(F.col("s") * F.pow(keep, F.col("_later"))) + F.pow(keep, F.sum("n")) * start
+    return parts.withColumn("_later", later).groupBy(key).agg(F.sum("n").alias("samples"), F.round(m, 6).alias("log_mean"), F.round(F.exp(m), 4).alias("likely"))
 
 
 @query(
@@ -149,7 +228,7 @@ def ew_log_estimator(samples: DataFrame, key: str, order: list[str], value: str,
        SELECT user_id, samples, round(m, 6) AS log_mean, round(exp(m), 4) AS likely FROM m""",
 )
 def q_ew_estimator(spark, sf_dir):
-    return ew_log_estimator(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 0.2, 3.0)
+    return ew_log_estimator(table(spark, sf_dir, "events"), "user_id", day_bucket("ts"), ["ts", "event_id"], "value", 0.2, 3.0)
 
 
 def _durations(spark, sf_dir):

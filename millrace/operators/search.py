@@ -34,10 +34,11 @@ def query_blocks(queries: DataFrame, limit: int = QUERY_BLOCK_BYTES) -> Iterator
 def top_k(hits: DataFrame, k: int) -> DataFrame:
     """The best k of each query: score, then name, both descending; equal pairs count once; k = 0 gives none.
 
-    The rank filter is applied before the shuffle too (WindowGroupLimit), so a query's hits don't meet in one task.
+    Equal pairs have one dense rank, so the rank filter can be applied before the shuffle too (WindowGroupLimit) and
+    copies go afterwards, where only the best are left.
     """
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("name").desc())
-    return hits.dropDuplicates(["query", "score", "name"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return hits.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k).dropDuplicates(["query", "rank"])
 
 
 def merge_top_k(parts: list[DataFrame], k: int) -> DataFrame:
@@ -48,11 +49,12 @@ def merge_top_k(parts: list[DataFrame], k: int) -> DataFrame:
     return top_k(whole, k)
 
 
-def all_pairs(queries: DataFrame, database: DataFrame, algorithm: str, scheme: Scheme, above: float | None = 0, limit: int = QUERY_BLOCK_BYTES) -> DataFrame:
+def all_pairs(queries: DataFrame, database: DataFrame, algorithm: str, scheme: Scheme, above: float | None = 0, limit: int = QUERY_BLOCK_BYTES, best: int | None = None) -> DataFrame:
     """query, name, score of every query with every database row, where the score is over `above`.
 
     The database stays where it lies; queries go to it in blocks of checked size, and each block is one pass. Bodies
-    that the scheme can't score give a null score with `above` None, and no row otherwise.
+    that the scheme can't score give a null score with `above` None, and no row otherwise. With `best` only the best
+    that many different (score, name) of each query leave a batch.
     """
     local = ALGORITHMS[algorithm]
 
@@ -83,6 +85,10 @@ def all_pairs(queries: DataFrame, database: DataFrame, algorithm: str, scheme: S
                         for x, s in zip(part, got, strict=True):
                             if above is None or s is not None and s > above:
                                 out[0].append(q), out[1].append(names[x]), out[2].append(s)
+                    if best is not None:
+                        # Nulls last, as in a descending sort.
+                        kept = sorted(set(zip(out[1], out[2], strict=True)), key=lambda h: (h[1] is not None, h[1] or 0, h[0]), reverse=True)[:best]
+                        out = [[q] * len(kept), [n for n, _ in kept], [x for _, x in kept]]
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["query", "name", "score"])
 
         return run
@@ -96,7 +102,7 @@ def all_pairs(queries: DataFrame, database: DataFrame, algorithm: str, scheme: S
 
 
 def search(queries: DataFrame, database: DataFrame, algorithm: str, scheme: Scheme, k: int, above: float | None = 0, limit: int = QUERY_BLOCK_BYTES) -> DataFrame:
-    return top_k(all_pairs(queries, database, algorithm, scheme, above, limit), k)
+    return top_k(all_pairs(queries, database, algorithm, scheme, above, limit, k), k)
 
 
 def with_alignments(hits: DataFrame, queries: DataFrame, database: DataFrame, algorithm: str, scheme: Scheme) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.catalog import query
-from millrace.operators.order import day_bucket, indexed, with_previous, with_running_sum
+from millrace.operators.order import day_bucket, indexed, with_previous, with_running_sum, with_total_before
 from millrace.session import table
 
 
@@ -123,9 +123,10 @@ def q_progress_latest(spark, sf_dir):
 def frame_rate(arrivals: DataFrame, keys: list[str], ts: str, number: str) -> DataFrame:
     """Frames, mean gap and rate, and how many frames came out of order, per key."""
     order = [ts, number]
-    lagged = with_previous(arrivals.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))), keys, day_bucket(ts), order, "_us", "_before")
-    lagged = with_previous(lagged, keys, day_bucket(ts), order, number, "_last")
-    gap = F.col("_us") - F.col("_before")
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    seen = arrivals.withColumns({"_us": us, "_seen": F.struct(us.alias("us"), F.col(number).alias("number"))})
+    lagged = with_previous(seen, keys, day_bucket(ts), order, "_seen", "_before").withColumn("_last", F.col("_before.number"))
+    gap = F.col("_us") - F.col("_before.us")
     return lagged.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("frames"),
         F.round(F.avg(gap / 1000.0), 3).alias("mean_gap_ms"),
@@ -160,14 +161,12 @@ def q_throughput_per_hour(spark, sf_dir):
               rank() OVER (ORDER BY count(*) DESC, sum(length(props)) DESC) AS place FROM events GROUP BY user_id""",
 )
 def q_destination_stats(spark, sf_dir):
-    """Messages and bytes per destination, most first; ranks come from a sort by value, not from one task."""
+    """Messages and bytes per destination, most first; ranks come from numbered rows, not from one task."""
     per = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.length("props")).alias("bytes"))
-    # Each (messages, bytes) pair once; its rank is 1 plus the rows before it.
+    # Each (messages, bytes) pair once, with the destinations that come before it.
     pairs = per.groupBy("messages", "bytes").agg(F.count(F.lit(1)).alias("n"))
-    total = per.agg(F.count(F.lit(1)).alias("total")).withColumn("_k", F.lit(0))
-    asc = with_running_sum(pairs.withColumn("_k", F.lit(0)), ["_k"], F.floor(F.col("messages") / 16), ["messages", "bytes"], "n", "upto")
-    places = asc.join(total, "_k").select("messages", "bytes", (F.col("total") - F.col("upto") + 1).alias("place"))
-    return per.join(places, ["messages", "bytes"]).select("user_id", "messages", "bytes", "place")
+    places = with_total_before(pairs, [(-F.col("messages")).alias("m"), (-F.col("bytes")).alias("b")], "n", "before")
+    return per.join(places, ["messages", "bytes"]).select("user_id", "messages", "bytes", (F.col("before") + 1).alias("place"))
 
 
 @query(
