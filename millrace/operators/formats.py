@@ -118,7 +118,13 @@ def placement_ok(replies: DataFrame, rank: str) -> DataFrame:
     return marked.agg(F.coalesce(F.min(whole) | F.min(dealt), F.lit(False)).alias("ok"), F.count(F.lit(1)).alias("replies"))
 
 
-@query("fileset_placement", "SELECT TRUE AS ok, 5::BIGINT AS replies")
+@query(
+    "fileset_placement",
+    """WITH s AS (SELECT o_orderkey % 5 AS rank, o_orderkey AS n, o_orderkey - lag(o_orderkey) OVER (PARTITION BY o_orderkey % 5 ORDER BY o_orderkey) AS step FROM orders),
+       g AS (SELECT rank, min(n) AS start, max(n) AS last, CASE WHEN min(step) IS NULL THEN 1 WHEN min(step) = max(step) THEN min(step) ELSE -1 END AS stride FROM s GROUP BY rank),
+       m AS (SELECT *, row_number() OVER (ORDER BY rank) - 1 AS i, count(*) OVER () AS n, first_value(start) OVER (ORDER BY rank) AS s0, first_value(last) OVER (ORDER BY rank) AS e0 FROM g)
+       SELECT coalesce(bool_and(stride = 1 AND start = s0 AND last = e0) OR bool_and(n = stride AND start = s0 + i AND (last = e0 + i OR last = e0 - stride + i)), false) AS ok, count(*) AS replies FROM m""",
+)
 def q_fileset_placement(spark, sf_dir):
     dealt = table(spark, sf_dir, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(5)).alias("rank"))
     return placement_ok(fileset_shape(dealt, "rank", "o_orderkey"), "rank")

@@ -198,6 +198,17 @@ def q_clock_hand(spark, sf_dir):
     return spark.range(30).select(F.col("id").cast("int").alias("frame"), (180 + 100 * F.sin(angle) + 0.00001).cast("int").alias("x"), (144 - 100 * F.cos(angle) + 0.00001).cast("int").alias("y"))
 
 
+@query(
+    "clock_commands",
+    """SELECT i::INT AS frame, printf('convert -size 360x288 xc:white -stroke black -draw "line 180,144 %d,%d" frame%05d.ppm',
+              CAST(trunc(180 + 100 * sin(2 * pi() * i / 25) + CAST(0.00001 AS DOUBLE)) AS INT), CAST(trunc(144 - 100 * cos(2 * pi() * i / 25) + CAST(0.00001 AS DOUBLE)) AS INT), i::INT) AS command FROM range(30) r(i)""",
+)
+def q_clock_commands(spark, sf_dir):
+    """One command line for each frame of the clock, to be run by whatever draws."""
+    hand = q_clock_hand(spark, sf_dir)
+    return hand.select("frame", F.format_string('convert -size 360x288 xc:white -stroke black -draw "line 180,144 %d,%d" frame%05d.ppm', "x", "y", "frame").alias("command"))
+
+
 #: The recorded workload: frames of this size, scaled up by two, sharpened, encoded.
 VIDEO_WIDTH, VIDEO_HEIGHT, VIDEO_FACTOR = 720, 576, 2
 

@@ -114,7 +114,8 @@ def with_alignments(hits: DataFrame, queries: DataFrame, database: DataFrame, al
     def run(batches):
         for batch in batches:
             got = [align(a, b, scheme, local) for a, b in zip(batch.column("qbody").to_pylist(), batch.column("body").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("query", "name", "rank", "score")] + [pa.array([g[c] for g in got], pa.string()) for c in ("gapped1", "tag", "gapped2")], names=[x.split()[0] for x in kinds.split(", ")])
+            score = pa.array([g["score"] for g in got], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("query", "name", "rank")), score, *(pa.array([g[c] for g in got], pa.string()) for c in ("gapped1", "tag", "gapped2"))], names=[x.split()[0] for x in kinds.split(", ")])
 
     return both.select("query", "name", "rank", "score", "qbody", "body").mapInArrow(run, kinds)
 
@@ -180,27 +181,51 @@ def q_search_variants_agree(spark, sf_dir):
     return out
 
 
-@query("sw_score")
+def _dynamic_sql(bodies: str, pair: str, gap: int, local: bool) -> str:
+    """Alignment scores row by row: a row is a list, worked out from left to right from the one before.
+
+    bodies: a query giving name, body; pair: the score of the letters x and y.
+    """
+    x, y = "substr(a.body, (r.i + 1)::INT, 1)", "substr(b.body, c[1]::INT, 1)"
+    first = "0" if local else f"{gap} * (r.i + 1)"
+    floor = "0, " if local else ""
+    score = pair.format(x=x, y=y)
+    cell = f"greatest({floor}r.line[c[1]] + {score}, r.line[c[1] + 1] + {gap}, acc[-1] + {gap})"
+    step = f"list_reduce(list_prepend([{first}], list_transform(range(1, length(b.body) + 1), lambda j: [j])), lambda acc, c: list_append(acc, {cell}))"
+    start = "0" if local else f"{gap} * j"
+    ended = "max(best)" if local else "max(line[-1]) FILTER (i = n)"
+    return f"""WITH RECURSIVE s AS ({bodies}), r AS (
+      SELECT a.name AS query, b.name AS name, 0::BIGINT AS i, length(a.body) AS n, list_transform(range(0, length(b.body) + 1), lambda j: {start}) AS line, 0::BIGINT AS best FROM s a, s b
+      UNION ALL
+      SELECT query, name, i + 1, n, line, greatest(best, list_max(line)) FROM (
+        SELECT r.query, r.name, r.i, r.n, r.best, {step} AS line FROM r JOIN s a ON a.name = r.query JOIN s b ON b.name = r.name WHERE r.i < r.n))
+    SELECT query, name, CAST({ended} AS BIGINT) AS score FROM r GROUP BY query, name"""
+
+
+@query("sw_score", "SELECT * FROM (" + _dynamic_sql("SELECT DISTINCT p_name AS name, p_name AS body FROM part", "(CASE WHEN {x} = {y} THEN 5 ELSE -4 END)", -4, True) + ") WHERE score > 0")
 def q_sw_score(spark, sf_dir):
     """Local scores of part names among themselves, with the usual 5 / -4 / -4."""
     _, parts = _names(spark, sf_dir)
     return all_pairs(parts, parts, "sw", basic_scheme(5, -4, -4), above=0)
 
 
-
 @query(
     "align_text",
     """SELECT * FROM (VALUES ('nw', 'kitten', 'sitting', -3::BIGINT, 'kitten-', ' ||| | ', 'sitting'), ('nw', 'abc', 'abc', 0, 'abc', '|||', 'abc'), ('nw', 'ab', 'b', -1, 'ab', ' |', '-b'),
        ('sw', 'xxabcxx', 'yabcy', 15, 'abc', '|||', 'abc'), ('sw', 'aaa', 'bbb', 0, '', '', '')) t(algorithm, a, b, score, gapped1, tag, gapped2)""",
 )
 def q_align_text(spark, sf_dir):
+    """Known pairs aligned by the executors, the way the alignments of hits are."""
     pairs = [("nw", "kitten", "sitting"), ("nw", "abc", "abc"), ("nw", "ab", "b"), ("sw", "xxabcxx", "yabcy"), ("sw", "aaa", "bbb")]
-    local = basic_scheme(5, -4, -4)
-    rows = []
-    for kind, a, b in pairs:
-        g = align(a, b, local if kind == "sw" else EDIT, kind == "sw")
-        rows.append((kind, a, b, g["score"], g["gapped1"], g["tag"], g["gapped2"]))
-    return spark.createDataFrame(rows, "algorithm string, a string, b string, score long, gapped1 string, tag string, gapped2 string")
+    out = None
+    for kind, scheme in (("nw", EDIT), ("sw", basic_scheme(5, -4, -4))):
+        own = [p for p in pairs if p[0] == kind]
+        hits = spark.createDataFrame([(a, b, 1, None) for _, a, b in own], "query string, name string, rank int, score long")
+        queries = spark.createDataFrame([(a, a) for _, a, _ in own], "name string, body string")
+        database = spark.createDataFrame([(b, b) for _, _, b in own], "name string, body string")
+        got = with_alignments(hits, queries, database, kind, scheme).select(F.lit(kind).alias("algorithm"), F.col("query").alias("a"), F.col("name").alias("b"), "score", "gapped1", "tag", "gapped2")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @query("tile_plan", "SELECT o_orderkey // 1000 AS q_tile, o_custkey // 100 AS d_tile, count(*) AS pairs FROM orders GROUP BY ALL")
@@ -234,14 +259,26 @@ def q_matrix_scores(spark, sf_dir):
     return letters.join(F.broadcast(m), ["a", "b"], "left").groupBy("p_name").agg(F.count(F.lit(1)).alias("letters"), F.coalesce(F.sum("score"), F.lit(0)).alias("score"))
 
 
-@query("matrix_search")
-def q_matrix_search(spark, sf_dir):
-    """Part names under a matrix scheme; names with letters the matrix lacks have a null score."""
-    from millrace.sources.files import parse_matrix
+def _letter_matrix(letters: str, same: int, vowels: int, other: int, gap: int) -> dict[tuple[str, str], int]:
+    """A scoring matrix by rule: equal letters, two vowels, any other two, and a gap."""
+    score = lambda a, b: same if a == b else vowels if a in "aeiou" and b in "aeiou" else other
+    return {(a, b): score(a, b) for a in letters for b in letters} | {(a, "*"): gap for a in letters} | {("*", a): gap for a in letters} | {("*", "*"): 1}
 
-    _, parts = _names(spark, sf_dir)
-    short = parts.select("name", F.regexp_replace("body", "[^abc]", "").alias("body"))
-    return all_pairs(short, short, "nw", matrix_scheme(parse_matrix(_MATRIX)), above=None)
+
+_LETTERS = " abcdefghiklmnopqrstuvwxyz"  # without j
+_MATRIX_BODIES = "SELECT name, body FROM (SELECT DISTINCT p_name AS name, CASE WHEN p_size % 10 = 0 THEN p_name || ' jade' ELSE p_name END AS body FROM part) QUALIFY row_number() OVER (PARTITION BY name ORDER BY body) = 1"
+
+
+@query(
+    "matrix_search",
+    f"""WITH d AS ({_dynamic_sql(_MATRIX_BODIES, "(CASE WHEN {x} = {y} THEN 6 WHEN {x} IN ('a', 'e', 'i', 'o', 'u') AND {y} IN ('a', 'e', 'i', 'o', 'u') THEN 1 ELSE -2 END)", -3, False)}), k AS ({_MATRIX_BODIES})
+    SELECT d.query, d.name, CASE WHEN contains(a.body, 'j') OR contains(b.body, 'j') THEN NULL ELSE score END AS score FROM d JOIN k a ON a.name = d.query JOIN k b ON b.name = d.name""",
+)
+def q_matrix_search(spark, sf_dir):
+    """Whole part names under a matrix scheme that has all letters but one; names with that one have a null score."""
+    body = F.when(F.pmod("p_size", F.lit(10)) == 0, F.concat("p_name", F.lit(" jade"))).otherwise(F.col("p_name"))
+    named = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min(body).alias("body"))
+    return all_pairs(named, named, "nw", matrix_scheme(_letter_matrix(_LETTERS, 6, 1, -2, -3)), above=None)
 
 
 def lz78(df: DataFrame, key: str, text: str) -> DataFrame:

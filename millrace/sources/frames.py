@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -147,28 +148,95 @@ def hex_lines(content: Column, per_line: int = 16) -> Column:
     )
 
 
-def _pack(content: pd.Series) -> pd.Series:
-    return pd.Series([None if c is None else zlib.compress(bytes(c), 6) for c in content])
+def _guarded(fn):
+    """fn over a series of binaries; null in gives null out, and so do bytes that it can't read."""
 
-
-def _unpack(content: pd.Series) -> pd.Series:
     def one(c):
         try:
-            return None if c is None else zlib.decompress(bytes(c))
-        except zlib.error:
+            return None if c is None else fn(bytes(c))
+        except (zlib.error, ValueError):
             return None
 
-    return pd.Series([one(c) for c in content])
+    return lambda content: pd.Series([one(c) for c in content])
+
+
+def run_lengths(b: bytes) -> bytes:
+    """Pairs of count (1 to 255) and byte."""
+    a = np.frombuffer(b, np.uint8)
+    if not len(a):
+        return b""
+    starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+    out = bytearray()
+    for start, n in zip(starts.tolist(), np.diff(np.r_[starts, len(a)]).tolist(), strict=True):
+        full, rest = divmod(n, 255)
+        out += bytes((255, a[start])) * full + (bytes((rest, a[start])) if rest else b"")
+    return bytes(out)
+
+
+def from_run_lengths(b: bytes) -> bytes:
+    if len(b) % 2:
+        raise ValueError("half a pair")
+    pairs = np.frombuffer(b, np.uint8).reshape(-1, 2)
+    return np.repeat(pairs[:, 1], pairs[:, 0]).tobytes()
+
 
+#: Codecs by name: how to pack and how to unpack. No image codec is at hand, so deflate stands in for them.
+CODECS = {"deflate": (lambda b: zlib.compress(b, 6), zlib.decompress), "runs": (run_lengths, from_run_lengths), "null": (bytes, bytes)}
 
-def pack(content) -> Column:
-    """A stand-in for the image codecs, of which none is at hand: deflate."""
-    return F.pandas_udf(_pack, T.BinaryType())(content)
 
+def codec(name: str):
+    if name not in CODECS:
+        raise ValueError(f"codec {name} is unknown; there are {', '.join(sorted(CODECS))}")
+    return CODECS[name]
 
-def unpack(content) -> Column:
+
+def pack(content, name: str = "deflate") -> Column:
+    return F.pandas_udf(_guarded(codec(name)[0]), T.BinaryType())(content)
+
+
+def unpack(content, name: str = "deflate") -> Column:
     """The other way; null for bytes that weren't packed so."""
-    return F.pandas_udf(_unpack, T.BinaryType())(content)
+    return F.pandas_udf(_guarded(codec(name)[1]), T.BinaryType())(content)
+
+
+def unpack_tagged(content: Column, tag: Column) -> Column:
+    """Each binary by the codec that its tag names; null for unknown tags and for bytes that weren't packed so."""
+
+    def decode(content: pd.Series, tag: pd.Series) -> pd.Series:
+        by_name = {name: _guarded(fns[1]) for name, fns in CODECS.items()}
+        return pd.Series([by_name[t]([c])[0] if t in by_name else None for c, t in zip(content, tag, strict=True)])
+
+    return F.pandas_udf(decode, T.BinaryType())(content, tag)
+
+
+def packed_blocks(items: DataFrame, number: str, content: str, per_block: int, name: str = "deflate") -> DataFrame:
+    """One packed block for per_block items in the order of their numbers: block, first, items, size_in, packed.
+
+    A stateful encoder takes items and gives a block now and then; the rest comes out when it is flushed. By number a
+    block is a group, its size bounded by per_block items, and the shorter last one is what the flush gives.
+    """
+    encode = codec(name)[0]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(number)
+        raw = [c or b"" for c in table.column(content).to_pylist()]
+        numbers = table.column(number).to_pylist()
+        whole = b"".join(raw)
+        return pa.table({"block": pa.array([numbers[0] // per_block], pa.int64()), "first": pa.array([numbers[0]], pa.int64()), "items": pa.array([len(raw)], pa.int64()), "size_in": pa.array([len(whole)], pa.int64()), "packed": pa.array([encode(whole)], pa.binary())})
+
+    keyed = items.select(F.col(number).cast("long").alias(number), content, F.call_function("div", F.col(number), F.lit(per_block)).alias("_block"))
+    return keyed.groupBy("_block").applyInArrow(run, "block long, first long, items long, size_in long, packed binary")
+
+
+def repeated(items: DataFrame, times: int, name: str = "pass") -> DataFrame:
+    """The items `times` times over, once at least; `name` counts the passes from 0."""
+    return items.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(max(1, times) - 1))))
+
+
+def paced(number: Column, rank: Column, per_second: float) -> Column:
+    """Milliseconds from the start at which a source of a rank hands out an item: a frame's time for each number, and as
+    much for each rank before the first."""
+    return F.floor((number + rank) * 1000 / F.lit(float(per_second))).cast("long")
 
 
 class _Done(WriterCommitMessage):

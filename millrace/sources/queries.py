@@ -33,15 +33,19 @@ def q_sequence_clean(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", sequence_text(said).alias("body"))
 
 
-_PARAMS = "# search\nAlgorithm = SW   # local\nTop.Scores = 20\nDatabaseFile = /Data/Set02DB.fasta\nmode=2\n"
+_PARAMS = "# search\nAlgorithm = SW   # local\nDatabaseFile = /Data/Set02DB.fasta\nmode=2\n"
 
 
 @query(
     "params_parse",
-    "SELECT * FROM (VALUES ('algorithm', 'sw'), ('top.scores', '20'), ('databasefile', '/Data/Set02DB.fasta'), ('mode', '2')) t(key, value)",
+    """SELECT s_suppkey, key, value FROM supplier, (VALUES ('algorithm', 'sw'), ('top.scores', NULL), ('databasefile', '/Data/Set02DB.fasta'), ('mode', '2'), ('name', '')) t(key, v),
+       LATERAL (SELECT CASE key WHEN 'top.scores' THEN CAST(20 + s_suppkey AS VARCHAR) WHEN 'name' THEN lower(trim(split_part(s_name, '#', 1))) ELSE v END AS value)""",
 )
 def q_params_parse(spark, sf_dir):
-    return spark.createDataFrame(list(parse_params(_PARAMS).items()), "key string, value string")
+    """A parameter file for each supplier, read where it lies."""
+    text = F.concat(F.lit(_PARAMS), F.lit("Top.Scores = "), (20 + F.col("s_suppkey")).cast("string"), F.lit("  # of each\nNAME="), "s_name", F.lit("\n"))
+    parsed = F.pandas_udf(lambda texts: texts.map(parse_params), "map<string,string>")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(parsed(text)).alias("key", "value"))
 
 
 _G = f"""SELECT n::INT AS frameno, {WIDTH} AS width, {HEIGHT} AS height, {{bits}} AS bits, CAST(sum({{v}} * ((y * {WIDTH} + x) * 3 + band + 1)) AS BIGINT) AS digest
@@ -78,21 +82,44 @@ def q_dump(spark, sf_dir):
     return f.select("frameno", F.posexplode(fr.dump_lines(F.col("width"), F.col("height"), F.col("frameno"), 24, F.col("data"))).alias("line", "said"))
 
 
-@query("compressed_block_sizes")
+@query(
+    "compressed_block_sizes",
+    """SELECT doc_id // 30 AS block, min(doc_id) AS first, count(*) AS items, CAST(sum(strlen(text)) AS BIGINT) AS size_in, true AS smaller, md5(string_agg(text, '' ORDER BY doc_id)) AS content_md5
+       FROM documents GROUP BY block""",
+)
 def q_blocks(spark, sf_dir):
-    """Blocks of 30 texts through the stand-in codec: raw and packed size of each."""
+    """Blocks of 30 texts through the stateful encoder, the last one flushed; what comes back is compared."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("raw"))
-    sized = docs.select(F.call_function("div", F.col("doc_id"), F.lit(30)).alias("block"), F.octet_length("raw").alias("size_in"), F.octet_length(fr.pack("raw")).alias("size_out"))
-    return sized.groupBy("block").agg(F.count(F.lit(1)).alias("items"), F.sum("size_in").alias("size_in"), F.sum("size_out").alias("size_out"))
+    blocks = fr.packed_blocks(docs, "doc_id", "raw", 30)
+    return blocks.select("block", "first", "items", "size_in", (F.octet_length("packed") < F.col("size_in")).alias("smaller"), F.md5(fr.unpack("packed")).alias("content_md5"))
 
 
-@query("codec_roundtrip", "SELECT source, count(*) AS items, count(*) AS same, 0::BIGINT AS dropped FROM documents GROUP BY source")
+@query(
+    "codec_roundtrip",
+    """SELECT source, CASE doc_id % 4 WHEN 0 THEN 'deflate' WHEN 1 THEN 'runs' WHEN 2 THEN 'null' ELSE 'other' END AS codec, count(*) AS items,
+              count(*) FILTER (doc_id % 4 < 3) AS same, count(*) FILTER (doc_id % 4 = 3) AS dropped,
+              CAST(sum(CASE WHEN doc_id % 4 = 2 THEN strlen(text) ELSE 0 END) AS BIGINT) AS null_size FROM documents GROUP BY ALL""",
+)
 def q_codec(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("source", F.col("text").cast("binary").alias("raw"))
-    back = docs.withColumn("back", fr.unpack(fr.pack("raw")))
-    return back.groupBy("source").agg(
-        F.count(F.lit(1)).alias("items"), F.count(F.when(F.col("back") == F.col("raw"), 1)).alias("same"), F.count(F.when(F.col("back").isNull(), 1)).alias("dropped")
-    )
+    """Texts packed by the codec of their tag and unpacked by it; items of an unknown tag are dropped."""
+    tag = F.element_at(F.array(*(F.lit(t) for t in ("deflate", "runs", "null", "other"))), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("source", tag.alias("codec"), F.col("text").cast("binary").alias("raw"))
+    packed = docs.withColumn("packed", F.coalesce(*(F.when(F.col("codec") == n, fr.pack("raw", n)) for n in fr.CODECS), F.col("raw")))
+    back = packed.withColumn("back", fr.unpack_tagged(F.col("packed"), F.col("codec")))
+    return back.groupBy("source", "codec").agg(
+        F.count(F.lit(1)).alias("items"), F.count(F.when(F.col("back") == F.col("raw"), 1)).alias("same"), F.count(F.when(F.col("back").isNull(), 1)).alias("dropped"),
+        F.sum(F.when(F.col("codec") == "null", F.octet_length("packed")).otherwise(0)).alias("null_size"),
+    )
+
+
+@query(
+    "source_options",
+    """SELECT o_orderkey, r::INT AS rank, p::INT AS pass, CAST(floor((o_orderkey + r) * 1000 / CAST(25 AS DOUBLE)) AS BIGINT) AS at_ms FROM orders, range(2) a(r), range(3) b(p)""",
+)
+def q_source_options(spark, sf_dir):
+    """Two sources of 25 frames a second, the second a frame later, each read three times over."""
+    ranked = fr.repeated(fr.repeated(table(spark, sf_dir, "orders").select("o_orderkey"), 3), 2, "rank")
+    return ranked.select("o_orderkey", "rank", "pass", fr.paced(F.col("o_orderkey"), F.col("rank"), 25).alias("at_ms"))
 
 
 # Stage kinds of the pipeline language.
@@ -107,7 +134,9 @@ def _gain(df, options):
 
 @dsl.stage_kind("scale", "rgb24", "rgb24")
 def _scale(df, options):
-    w, h = options.typed("width", int, required=True), options.typed("height", int, required=True)
+    w, h, bits = options.typed("width", int, required=True), options.typed("height", int, required=True), options.typed("bits", int, 0)
+    if bits not in (0, 24):
+        raise dsl.PipelineError(f"option bits={bits}: frames of 24 bits stay so; torgb48 makes others")
     return df.withColumn("data", px.nearest(F.col("data"), F.col("width"), F.col("height"), w, h)).withColumns({"width": F.lit(w), "height": F.lit(h)})
 
 
@@ -123,8 +152,9 @@ def _flatten(df, options):
 
 @dsl.stage_kind("compress", "image", "compressed")
 def _compress(df, options):
-    digits = F.array_join(F.transform("data", lambda v: F.lpad(F.hex(v), 4, "0")), "")
-    return df.withColumn("packed", fr.pack(F.unhex(digits)))
+    """Each frame by itself; a stage that packs blocks of frames is packed_blocks."""
+    raw = fr.encoded(F.col("width"), F.col("height"), F.lit(48), F.col("data"), "raw")
+    return df.withColumn("packed", fr.pack(raw, options.typed("codec", str, "deflate")))
 
 
 @dsl.stage_kind("count", "image", None)

@@ -26,15 +26,13 @@ def latest_per_source(events: DataFrame) -> DataFrame:
     """The newest record of each user in state; every micro-batch gives the users that changed."""
 
     def update(key, batches, state):
-        held = state.get if state.exists else (None, None, None)
-        best = (held[0], held[1], held[2])
+        best = state.get if state.exists else (None, None, None)
         for pdf in batches:
-            us = pdf["us"].to_numpy()
-            ids = pdf["event_id"].to_numpy()
-            for i in range(len(pdf)):
-                if best[0] is None or (us[i], ids[i]) > (best[0], best[1]):
-                    best = (int(us[i]), int(ids[i]), float(pdf["value"].iat[i]))
-        state.update(best)
+            newest = pdf.sort_values(["us", "event_id"]).iloc[-1]
+            found = (int(newest["us"]), int(newest["event_id"]), float(newest["value"]))
+            if best[0] is None or found[:2] > tuple(best[:2]):
+                best = found
+        state.update(tuple(best))
         yield pd.DataFrame({"user_id": [key[0]], "us": [best[0]], "event_id": [best[1]], "value": [best[2]]})
 
     rows = events.select("user_id", F.unix_micros("ts").alias("us"), "event_id", "value")
