@@ -13,8 +13,13 @@ suffixes are sorted one bucket at a time, only where a sample says that there is
    look-up, not a comparison of 50 bytes. The smallest doc_id of each 50-byte string goes back to the blocks.
 4. Blocks remove what starts in a document with a smaller id.
 
+A sample that very many blocks hold would put all its surroundings into one bucket. Its windows are dealt on by what
+stands next to the sample: the 15 bytes after it where it lies in the front half of the window, the 16 before it otherwise.
+Equal windows have equal neighbours, so they still meet.
+
 Texts are shuffled once, into blocks; what else moves is samples, shared stretches and ranks. A string that a third
-of all documents share counts once for each block in any bucket.
+of all documents share counts once for each block in any bucket. The numbers of blocks, buckets and partitions follow the
+bytes of the input, so a task's share doesn't.
 """
 
 from __future__ import annotations
@@ -35,6 +40,12 @@ SPAN = LENGTH - GRAM + 1
 BLOCK_BYTES = 2 << 20
 #: Samples of one bucket, on average.
 BUCKET_SAMPLES = 1 << 18
+#: A sample of more blocks than this is hot.
+HOT_BLOCKS = 64
+#: Blocks and buckets of one partition.
+PART_BLOCKS, PART_BUCKETS = 8, 4
+#: Offsets of a sample in a window up to which the bytes after it deal the window on.
+FRONT = (LENGTH - GRAM) // 2
 LAST = np.iinfo(np.int64).max
 
 _BYTE = splitmix(np.arange(256, dtype=U64))
@@ -48,8 +59,8 @@ def _join(left: np.ndarray, right: np.ndarray, odd: int) -> np.ndarray:
     return x
 
 
-def samples(buf: np.ndarray) -> np.ndarray:
-    """For each 50-byte window of buf the smallest hash of its 20-byte strings."""
+def hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the 8-, 16- and 20-byte strings at all places."""
     h1 = _BYTE[buf]
     h2 = _join(h1[:-1], h1[1:], 0xBF58476D1CE4E5B9)
     h4 = _join(h2[:-2], h2[2:], 0x94D049BB133111EB)
@@ -58,6 +69,11 @@ def samples(buf: np.ndarray) -> np.ndarray:
     n = len(buf) - GRAM + 1
     h = _join(h16[:n], h4[16 : 16 + n], 0xE7037ED1A0B428DB)
     h ^= h >> U64(32)
+    return h8, h16, h
+
+
+def samples(h: np.ndarray) -> np.ndarray:
+    """For each 50-byte window the smallest hash of its 20-byte strings."""
     for step in (1, 2, 4, 8):
         h = np.minimum(h[:-step], h[step:])
     return np.minimum(h[: len(h) - (SPAN - 16)], h[SPAN - 16 :])
@@ -78,14 +94,16 @@ class Block:
         self.ends = np.cumsum([len(texts[i]) for i in order], dtype=np.int64)
         self.starts = self.ends - np.array([len(texts[i]) for i in order], dtype=np.int64)
 
-    def runs(self) -> None:
-        """self.first, self.last (windows of a run), self.doc, self.key."""
+    def runs(self, buckets: int) -> None:
+        """self.first, self.last (windows of a run), self.doc, self.key, self.bucket; runs in the order of the text."""
         n = len(self.buf) - LENGTH + 1
+        self.dealt = np.empty(0, bool)
         if n <= 0:
-            self.first = self.last = self.doc = np.empty(0, np.int64)
+            self.first = self.last = self.doc = self.bucket = np.empty(0, np.int64)
             self.key = np.empty(0, U64)
             return
-        m = samples(self.buf)
+        self._h8, self._h16, self._h20 = hashes(self.buf)
+        self._m = m = samples(self._h20)
         fresh = np.ones(n, bool)
         fresh[1:] = m[1:] != m[:-1]
         valid = np.zeros(n, bool)
@@ -101,6 +119,40 @@ class Block:
         self.first, self.last = first[real], last[real]
         self.doc = np.searchsorted(self.ends, self.first, side="right")
         self.key = splitmix(m[self.first])
+        self.bucket = _bucket(self.key, buckets)
+        self.dealt = np.zeros(len(self.first), bool)
+
+    def deal(self, hot: np.ndarray, buckets: int) -> None:
+        """Runs of hot samples cut up by what stands next to the sample; they go to buckets of their own."""
+        mask = np.isin(_name(self.bucket, self.key), hot)
+        if not mask.any():
+            return
+        count = self.last[mask] - self.first[mask] + 1
+        w = _ranges(self.first[mask], count)
+        least = self._m[w]
+        # The first place in each window where the sample stands.
+        offset = np.full(len(w), -1)
+        for o in range(SPAN):
+            here = (offset < 0) & (self._h20[np.minimum(w + o, len(self._h20) - 1)] == least)
+            offset[here] = o
+        front = offset <= FRONT
+        at = w + offset
+        near = np.empty(len(w), U64)
+        near[front] = _join(self._h8[at[front] + GRAM], self._h8[at[front] + GRAM + FRONT - 8], 0x8EBC6AF09C88C6E3)
+        near[~front] = self._h16[at[~front] - 16]
+        key = splitmix(splitmix(least) ^ near ^ front.astype(U64))
+        fresh = np.r_[True, key[1:] != key[:-1]]
+        fresh[np.cumsum(count) - count] = True
+        head = np.flatnonzero(fresh)
+        size = np.diff(np.r_[head, len(w)])
+        first = np.r_[self.first[~mask], w[head]]
+        order = np.argsort(first, kind="stable")
+        self.first = first[order]
+        self.last = np.r_[self.last[~mask], w[head] + size - 1][order]
+        self.key = np.r_[self.key[~mask], key[head]][order]
+        self.dealt = np.r_[np.zeros(int((~mask).sum()), bool), np.ones(len(head), bool)][order]
+        self.doc = np.searchsorted(self.ends, self.first, side="right")
+        self.bucket = np.where(self.dealt, buckets, 0) + _bucket(self.key, buckets)
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -111,6 +163,11 @@ def _low(key: np.ndarray) -> np.ndarray:
     return (key & U64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def _name(bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """What a sample is known by: its bucket and the lower half of its key."""
+    return (bucket.astype(U64) << U64(32)) | _low(key).astype(U64)
+
+
 def _split(bucket: np.ndarray):
     """(bucket, indices) for each bucket that occurs, indices in their order."""
     order = np.argsort(bucket, kind="stable")
@@ -120,14 +177,11 @@ def _split(bucket: np.ndarray):
             yield int(bucket[part[0]]), part
 
 
-def _stretches(block: Block, shared: np.ndarray, buckets: int):
+def _stretches(block: Block, shared: np.ndarray):
     """Shared runs of a block, equal stretches taken together: (runs kept, stretch of each, first run of each)."""
-    bucket, low = _bucket(block.key, buckets), _low(block.key)
-    both = (bucket.astype(U64) << U64(32)) | low.astype(U64)
-    if not len(shared):
+    kept = np.flatnonzero(block.dealt | np.isin(_name(block.bucket, block.key), shared))
+    if not len(kept):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    at = np.minimum(np.searchsorted(shared, both), len(shared) - 1)
-    kept = np.flatnonzero(shared[at] == both)
     seen: dict[bytes, int] = {}
     of = np.empty(len(kept), np.int64)
     heads = []
@@ -143,9 +197,9 @@ def _stretches(block: Block, shared: np.ndarray, buckets: int):
 
 
 SAMPLES = "bucket long, block long, low binary, many binary"
-SHARED = "block long, bucket long, low binary"
-STRETCHES = "bucket long, block long, low binary, bytes binary, sizes binary, docs binary"
-RANKS = "block long, bucket long, low binary, counts binary, lengths binary, owners binary"
+SHARED = "block long, bucket long, low binary, hot binary"
+STRETCHES = "bucket long, block long, low binary, bytes binary, sizes binary, docs binary, hot binary"
+RANKS = "block long, bucket long, low binary, counts binary, lengths binary, owners binary, hot binary"
 
 
 def _table(schema: str, columns: list[list]) -> pa.Table:
@@ -157,7 +211,7 @@ def _table(schema: str, columns: list[list]) -> pa.Table:
 def _gather(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         block = Block(table)
-        block.runs()
+        block.runs(buckets)
         out: list[list] = [[], [], [], []]
         if len(block.key):
             order = np.argsort(block.key, kind="stable")
@@ -184,36 +238,40 @@ def _share(table: pa.Table) -> pa.Table:
     sizes = np.diff(np.r_[head, len(low)])
     keep = (sizes > 1) | (np.maximum.reduceat(many[order], head) > 0)
     hit = order[np.repeat(keep, sizes)]
+    hot = np.repeat(sizes > HOT_BLOCKS, sizes)[np.repeat(keep, sizes)]
     blocks, bucket = table.column("block").to_pylist(), table.column("bucket")[0].as_py()
-    out: list[list] = [[], [], []]
+    out: list[list] = [[], [], [], []]
     for s, part in _split(source[hit]):
-        out[0].append(blocks[s])
-        out[1].append(bucket)
-        out[2].append(np.unique(low[hit[part]]).tobytes())
+        names, at = np.unique(low[hit[part]], return_index=True)
+        for column, x in zip(out, (blocks[s], bucket, names.tobytes(), np.packbits(hot[part][at]).tobytes()), strict=True):
+            column.append(x)
     return _table(SHARED, out)
 
 
-def _shared_of(replies: pa.Table) -> np.ndarray:
-    parts = [
-        (U64(b) << U64(32)) | np.frombuffer(x, np.uint32).astype(U64)
-        for b, x in zip(replies.column("bucket").to_pylist(), replies.column("low").to_pylist(), strict=True)
-    ]
+def _names_of(replies: pa.Table) -> list[np.ndarray]:
+    return [(U64(b) << U64(32)) | np.frombuffer(x, np.uint32).astype(U64) for b, x in zip(replies.column("bucket").to_pylist(), replies.column("low").to_pylist(), strict=True)]
+
+
+def _union(parts: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, U64)
 
 
 def _send(buckets: int):
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(7)]
         if table.num_rows and replies.num_rows:
             block = Block(table)
-            block.runs()
-            kept, of, heads = _stretches(block, _shared_of(replies), buckets)
+            block.runs(buckets)
+            names = _names_of(replies)
+            hot = _union([n[np.unpackbits(np.frombuffer(x, np.uint8), count=len(n)) > 0] for n, x in zip(names, replies.column("hot").to_pylist(), strict=True)])
+            block.deal(hot, buckets)
+            kept, of, heads = _stretches(block, _union(names))
             if len(heads):
                 owner = np.full(len(heads), LAST, np.int64)
                 np.minimum.at(owner, of, block.ids[block.doc[kept]])
                 name = table.column("block")[0].as_py()
                 a, b = block.first[heads], block.last[heads] + LENGTH
-                for bucket, part in _split(_bucket(block.key[heads], buckets)):
+                for bucket, part in _split(block.bucket[heads]):
                     row = (
                         bucket,
                         name,
@@ -221,6 +279,8 @@ def _send(buckets: int):
                         b"".join(block.text[x:y] for x, y in zip(a[part].tolist(), b[part].tolist(), strict=True)),
                         (b[part] - a[part]).astype(np.uint32).tobytes(),
                         owner[part].tobytes(),
+                        # By these the block cuts its runs in the same way when the ranks come back.
+                        hot.tobytes() if bucket >= buckets else b"",
                     )
                     for column, x in zip(out, row, strict=True):
                         column.append(x)
@@ -305,11 +365,11 @@ def _sort(table: pa.Table) -> pa.Table:
         sizes.append(len(ends))
     counts, lengths, values = owners(stretches, np.concatenate(docs))
     runs = np.r_[0, np.cumsum(counts)]
-    out: list[list] = [[] for _ in range(6)]
+    out: list[list] = [[] for _ in range(7)]
     i = 0
-    for n, block, bucket, low in zip(sizes, *(table.column(c).to_pylist() for c in ("block", "bucket", "low")), strict=True):
+    for n, block, bucket, low, hot in zip(sizes, *(table.column(c).to_pylist() for c in ("block", "bucket", "low", "hot")), strict=True):
         a, b = runs[i], runs[i + n]
-        row = (block, bucket, low, counts[i : i + n].astype(np.uint32).tobytes(), lengths[a:b].astype(np.uint32).tobytes(), values[a:b].tobytes())
+        row = (block, bucket, low, counts[i : i + n].astype(np.uint32).tobytes(), lengths[a:b].astype(np.uint32).tobytes(), values[a:b].tobytes(), hot)
         i += n
         for column, x in zip(out, row, strict=True):
             column.append(x)
@@ -321,9 +381,10 @@ def removed(block: Block, replies: pa.Table, buckets: int) -> np.ndarray:
     n = len(block.buf)
     if not replies.num_rows or n < LENGTH:
         return np.zeros(n, bool)
-    block.runs()
-    kept, of, heads = _stretches(block, _shared_of(replies), buckets)
-    place = dict(_split(_bucket(block.key[heads], buckets)))
+    block.runs(buckets)
+    block.deal(_union([np.frombuffer(x, U64) for x in replies.column("hot").to_pylist() if x]), buckets)
+    kept, of, heads = _stretches(block, _union(_names_of(replies)))
+    place = dict(_split(block.bucket[heads]))
     # Runs of windows of each stretch, stretches in the order of the replies.
     counts, lengths, values, order = [], [], [], []
     for bucket, count, length, owner in zip(*(replies.column(c).to_pylist() for c in ("bucket", "counts", "lengths", "owners")), strict=True):
@@ -381,13 +442,15 @@ def remove_repeats(docs: DataFrame, texts: bool = False, block_bytes: int = BLOC
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     buckets = max(1, -(-total // 16 // bucket_samples))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // 32))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts, bucket_parts = max(least, -(-blocks // PART_BLOCKS)), max(least, -(-buckets // PART_BUCKETS))
     narrow = docs.select("doc_id", text.alias("text"))
     # Used three times and shuffled once: the plan has one exchange of texts, which is reused.
     placed = narrow.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks))).repartition(parts, "block")
-    shared = placed.groupBy("block").applyInArrow(_gather(buckets), SAMPLES).groupBy("bucket").applyInArrow(_share, SHARED)
+    gathered = placed.groupBy("block").applyInArrow(_gather(buckets), SAMPLES)
+    shared = gathered.repartition(bucket_parts, "bucket").groupBy("bucket").applyInArrow(_share, SHARED)
     sent = placed.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send(buckets), STRETCHES)
-    ranked = sent.groupBy("bucket").applyInArrow(_sort, RANKS)
+    ranked = sent.repartition(2 * bucket_parts, "bucket").groupBy("bucket").applyInArrow(_sort, RANKS)
     return placed.groupBy("block").cogroup(ranked.groupBy("block")).applyInArrow(_apply(buckets, texts), RESULT + (", kept binary" if texts else ""))
 
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import clashing
 from pyspark.sql import functions as F
@@ -150,6 +151,34 @@ def test_suffix_dedup(docs, pairs, sizes):
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in got)
 
 
+def test_suffix_dedup_deals_hot_samples(spark, monkeypatch):
+    """A 20-byte string in every document with other surroundings in each, some of them repeated, and a periodic text."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    around = lambda n: "".join(rng.choices(letters, k=n))
+    shared = [around(60) for _ in range(4)]
+    rows = []
+    for i in range(120):
+        before, after = (rng.choice(shared) if rng.random() < 0.3 else around(40) for _ in range(2))
+        rows.append((i, f"{before}COMMON-STRING-OF-20B{after}" + (f" {before[-20:]}COMMON-STRING-OF-20B" if i % 5 == 0 else "")))
+    rows += [(200 + i, "xy" * (30 + i)) for i in range(6)]
+    monkeypatch.setattr(op4, "HOT_BLOCKS", 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = op4.remove_repeats(docs, block_bytes=800, bucket_samples=64).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute.repeats(rows)
+    low = min((around(20) for _ in range(3000)), key=lambda x: op4.hashes(np.frombuffer(x.encode(), np.uint8))[2][0])  # a sample wherever it stands
+    texts = [f"{around(45)}{low}{around(45)}" for _ in range(400)]
+    block = op4.Block(pa.table({"doc_id": pa.array(range(400)), "text": pa.array([t.encode() for t in texts])}))
+    block.runs(64)
+    windows = (block.last - block.first + 1).sum()
+    name, n = np.unique(op4._name(block.bucket, block.key), return_counts=True)
+    assert n.max() > 300
+    block.deal(name[n > 20], 64)
+    # No window is lost, and what went to one bucket goes to many.
+    assert block.dealt.any() and (block.last - block.first + 1).sum() == windows
+    assert np.unique(op4._name(block.bucket, block.key)[block.dealt], return_counts=True)[1].max() < 5
+
+
 def test_suffix_dedup_edges(docs, empty, spark):
     assert op4.remove_repeats(empty).collect() == []
     same = spark.createDataFrame([(1, "y" * 60), (1, "y" * 60), (None, "y" * 60), (None, None)], "doc_id long, text string")
