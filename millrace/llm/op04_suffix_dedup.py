@@ -13,7 +13,7 @@ suffixes are sorted one bucket at a time, only where a sample says that there is
    look-up, not a comparison of 50 bytes. The smallest doc_id of each 50-byte string goes back to the blocks.
 4. Blocks remove what starts in a document with a smaller id.
 
-A sample that very many blocks hold would put all its surroundings into one bucket. Its windows are dealt on by what
+A sample that very many texts hold would put all its surroundings into one bucket. Its windows are dealt on by what
 stands next to the sample: the 15 bytes after it where it lies in the front half of the window, the 16 before it otherwise.
 Equal windows have equal neighbours, so they still meet.
 
@@ -40,8 +40,11 @@ SPAN = LENGTH - GRAM + 1
 BLOCK_BYTES = 2 << 20
 #: Samples of one bucket, on average.
 BUCKET_SAMPLES = 1 << 18
-#: A sample of more blocks than this is hot.
-HOT_BLOCKS = 64
+#: A sample with more runs of windows than this is hot: about 45 MB of text around it. Cutting its runs up moves up to twice
+#: their bytes, so it is done only where one bucket would have to hold them all.
+HOT_RUNS = 1 << 19
+#: Runs of one sample in one block from which on a block tells their number; fewer count as one.
+TOLD_RUNS = 16
 #: Blocks and buckets of one partition.
 PART_BLOCKS, PART_BUCKETS = 8, 4
 #: Offsets of a sample in a window up to which the bytes after it deal the window on.
@@ -196,7 +199,7 @@ def _stretches(block: Block, shared: np.ndarray):
     return kept, of, np.array(heads, dtype=np.int64)
 
 
-SAMPLES = "bucket long, block long, low binary, many binary"
+SAMPLES = "bucket long, block long, low binary, many binary, told binary"
 SHARED = "block long, bucket long, low binary, hot binary"
 STRETCHES = "bucket long, block long, low binary, bytes binary, sizes binary, docs binary, hot binary"
 RANKS = "block long, bucket long, low binary, counts binary, lengths binary, owners binary, hot binary"
@@ -212,16 +215,19 @@ def _gather(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         block = Block(table)
         block.runs(buckets)
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         if len(block.key):
             order = np.argsort(block.key, kind="stable")
             key, doc = block.key[order], block.doc[order]
             head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             many = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
+            times = np.diff(np.r_[head, len(key)]).astype(np.uint32)
             key = key[head]
             name = table.column("block")[0].as_py()
             for b, part in _split(_bucket(key, buckets)):
-                for column, x in zip(out, (b, name, _low(key[part]).tobytes(), np.packbits(many[part]).tobytes()), strict=True):
+                often = np.flatnonzero(times[part] >= TOLD_RUNS).astype(np.uint32)
+                told = np.stack([often, times[part][often]]).tobytes()
+                for column, x in zip(out, (b, name, _low(key[part]).tobytes(), np.packbits(many[part]).tobytes(), told), strict=True):
                     column.append(x)
         return _table(SAMPLES, out)
 
@@ -232,13 +238,17 @@ def _share(table: pa.Table) -> pa.Table:
     lows = [np.frombuffer(x, np.uint32) for x in table.column("low").to_pylist()]
     many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(y)) for x, y in zip(table.column("many").to_pylist(), lows, strict=True)])
     low = np.concatenate(lows)
+    times = np.ones(len(low), np.int64)
+    for at, told in zip(np.cumsum([0, *map(len, lows)]).tolist(), table.column("told").to_pylist(), strict=False):
+        index, n = np.frombuffer(told, np.uint32).reshape(2, -1)
+        times[at + index.astype(np.int64)] = n
     source = np.repeat(np.arange(len(lows)), [len(x) for x in lows])
     order = np.argsort(low, kind="stable")
     head = np.flatnonzero(np.r_[True, low[order][1:] != low[order][:-1]])
     sizes = np.diff(np.r_[head, len(low)])
     keep = (sizes > 1) | (np.maximum.reduceat(many[order], head) > 0)
     hit = order[np.repeat(keep, sizes)]
-    hot = np.repeat(sizes > HOT_BLOCKS, sizes)[np.repeat(keep, sizes)]
+    hot = np.repeat(np.add.reduceat(times[order], head) > HOT_RUNS, sizes)[np.repeat(keep, sizes)]
     blocks, bucket = table.column("block").to_pylist(), table.column("bucket")[0].as_py()
     out: list[list] = [[], [], [], []]
     for s, part in _split(source[hit]):

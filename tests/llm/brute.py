@@ -123,3 +123,67 @@ def shards(docs, n=8):
         count[s] += 1
         at += size
     return out
+
+
+def good_probabilities(votes, rounds=100):
+    """Posterior of the good class for each document's votes (b, g or -), by EM over documents one by one.
+
+    Class 0 is good, class j + 1 is the bad kind that rule j sees. A rule that votes says bad with a class's own rate.
+    """
+    import math
+
+    m = len(votes[0]) if votes else 0
+    bounds = [[(0.0005, 0.1)] * m] + [[(0.7, 0.995) if j == c else (0.005, 0.995) for j in range(m)] for c in range(m)]
+    start = [[0.03] * m] + [[0.9 if j == c else 0.2 for j in range(m)] for c in range(m)]
+    rate, prior = [list(r) for r in start], [0.85] + [0.15 / m] * m
+    post = []
+    for _ in range(rounds):
+        post = []
+        for v in votes:
+            logs = []
+            for c in range(m + 1):
+                x = math.log(prior[c])
+                for j, vote in enumerate(v):
+                    if vote == "b":
+                        x += math.log(rate[c][j])
+                    elif vote == "g":
+                        x += math.log(1 - rate[c][j])
+                logs.append(x)
+            most = max(logs)
+            e = [math.exp(x - most) for x in logs]
+            post.append([x / sum(e) for x in e])
+        for c in range(m + 1):
+            for j in range(m):
+                bad = sum(p[c] for p, v in zip(post, votes, strict=True) if v[j] == "b")
+                said = sum(p[c] for p, v in zip(post, votes, strict=True) if v[j] != "-")
+                low, high = bounds[c][j]
+                rate[c][j] = min(high, max(low, (bad + 2 * start[c][j]) / (said + 2)))
+            prior[c] = (sum(p[c] for p in post) + (8.5 if c == 0 else 1.5 / m)) / (len(votes) + 10)
+    return [p[0] for p in post]
+
+
+def quality_votes(text):
+    """One letter for each rule, from plain counts of a text."""
+    w = words(text)
+    text = text or ""
+    n, chars = len(w), sum(map(len, w))
+    lines = [x for x in text.split("\n") if words(x)]
+    _, _, symbols, dup, repeated = quality_counts(text)
+    upper, letters = len(re.findall("[A-Z]", text)), len(re.findall("[A-Za-z]", text))
+    other = len(re.findall(r"[!-/:-@\[-`{-~\x00-\x08\x0E-\x1F\x7F]", text))
+    marked = sum(bool(re.search(r"[#*$%&|<>]", x)) for x in w)
+    bangs, stops = text.count("!!"), text.count(".") + text.count("?")
+    per = lambda a, b: a / max(b, 1)
+    rules = [
+        (per(symbols, chars) > 0.08, symbols * 100 < chars),
+        (per(marked, n) > 0.2, marked * 100 < n),
+        (per(other, chars) > 0.1, per(other, chars) < 0.06),
+        (per(upper, letters) > 0.3, per(upper, letters) < 0.1),
+        (per(bangs, n) > 0.1, bangs == 0),
+        (per(repeated, n) > 0.15, per(repeated, n) < 0.02),
+        (per(dup, len(lines)) > 0.3, len(lines) > 1 and dup == 0),
+        (per(chars, n) < 2.5 or per(chars, n) > 14, 3 < per(chars, n) < 10),
+        (n >= 20 and per(len(set(w)), n) < 0.15, n < 400 and per(len(set(w)), n) > 0.5),
+        (n >= 40 and stops == 0, per(stops, n) > 0.02),
+    ]
+    return "".join("b" if bad else "g" if good else "-" for bad, good in rules)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import brute
@@ -36,6 +37,16 @@ def test_sharding(docs, pairs, empty):
     assert all(r["lo"] == 0 and r["hi"] == r["n"] - 1 == r["d"] - 1 for r in twice)
 
 
+def test_sharding_keeps_rows_of_null_and_repeated_ids(spark):
+    rows = [(None, "a"), (None, "a"), (None, "bb"), (1, "ccc"), (1, "d"), (1, None), (2, "e" * 5000)]
+    got = op1.shard(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == sorted((str(d), len(t or "") + 1, zlib.crc32((t or "").encode())) for d, t in rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
 def test_mixing_targets():
     assert op2.targets_of([100, 100, 100], share=1.5) == pytest.approx([200, 166.66666, 83.33333])
     assert op2.targets_of([10, 1000], share=1.5) == pytest.approx([20, 1495])
@@ -162,7 +173,8 @@ def test_suffix_dedup_deals_hot_samples(spark, monkeypatch):
         before, after = (rng.choice(shared) if rng.random() < 0.3 else around(40) for _ in range(2))
         rows.append((i, f"{before}COMMON-STRING-OF-20B{after}" + (f" {before[-20:]}COMMON-STRING-OF-20B" if i % 5 == 0 else "")))
     rows += [(200 + i, "xy" * (30 + i)) for i in range(6)]
-    monkeypatch.setattr(op4, "HOT_BLOCKS", 2)
+    monkeypatch.setattr(op4, "HOT_RUNS", 2)
+    monkeypatch.setattr(op4, "TOLD_RUNS", 2)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = op4.remove_repeats(docs, block_bytes=800, bucket_samples=64).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute.repeats(rows)
@@ -212,6 +224,38 @@ def test_line_templates(docs, rows, empty):
     assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
 
 
+def test_line_templates_do_not_fade_with_size(spark):
+    """Lines of one template with names, days and numbers as variables: all go at every size; so do short repeats."""
+    rng = random.Random(3)
+    names = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(500)]
+    for n in (100, 1000, 20_000):
+        rows = [(i, f"Posted by {rng.choice(names)} on day{i % 365} at {i % 1440}:{i % 60} from {rng.choice(names)} views {i * 7}\nown {'x' * (i % 50)} prose {i} of {rng.choice(names)} {rng.choice(names)}\nAll rights reserved.") for i in range(n)]
+        out = op5.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).agg(F.sum("n_dropped").alias("d"), F.sum(F.col("text").contains("Posted").cast("int")).alias("p"), F.sum(F.col("text").contains("reserved").cast("int")).alias("r")).first()
+        assert (out["p"], out["r"]) == (0, 0) and out["d"] >= 2 * n
+
+
+def test_line_templates_keep_rows_apart(spark):
+    """Equal rows count as one document; rows that share a doc_id or have none go by their texts."""
+    line = "the same words in every one of them"
+    rows = [(1, line), (1, line), (1, line), (None, f"{line}\nmore"), (None, "alone here in this table"), (2, None), (3, " \n\t"), (4, "")]
+    said = lambda rows: sorted(str((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"])) for r in op5.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    kept = [(1, line, 1, 0)] * 3 + [(None, f"{line}\nmore", 2, 0), (None, "alone here in this table", 1, 0), (2, None, 0, 0), (3, " \n\t", 0, 0), (4, "", 0, 0)]
+    assert said(rows) == sorted(map(str, kept))
+    gone = [(1, "", 1, 1)] * 3 + [(None, "more", 2, 1), (None, "alone here in this table", 1, 0), (2, None, 0, 0), (3, " \n\t", 0, 0), (4, "", 0, 0), (4, "y", 2, 1)]
+    assert said([*rows, (4, f"y\n{line}")]) == sorted(map(str, gone))
+
+
+def test_line_templates_take_hot_lines_apart(spark, monkeypatch):
+    """Every key hot, and every leaf salted: the same rows."""
+    rows = [(i, "\n".join([f"GET /item/{i} took {i} ms from cache", "license text that all have", f"user {chr(97 + i % 26)}{chr(97 + i % 7)} logged in from home", f"line {i} only here {i}"])) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, op5.drop_templates(docs).collect()))
+    monkeypatch.setattr(op5, "HOT", 1 << 30)
+    monkeypatch.setattr(op5, "SALT_KINDS", 2)
+    assert sorted(map(tuple, op5.drop_templates(docs).collect())) == plain
+    assert sum(r[-1] for r in plain) >= 240
+
+
 def test_line_templates_oracle(docs, spark):
     import duckdb
 
@@ -324,6 +368,28 @@ def test_quality(docs, pairs, empty, rows):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {d for d in got if got[d]["kept"]}
 
 
+def test_quality_verdict_against_plain_version(docs, pairs):
+    got = {r["doc_id"]: r for r in op7.quality(docs).collect()}
+    votes = [brute.quality_votes(t) for _, t in pairs]
+    for (d, t), v, p in zip(pairs, votes, brute.good_probabilities(votes), strict=True):
+        n, *_, repeated = brute.quality_counts(t)
+        failed = n < 10 or 100 * repeated > 20 * n
+        assert (got[d]["votes"], got[d]["base_failed"]) == (v, failed)
+        assert got[d]["posterior"] == pytest.approx(p, abs=1e-9) and got[d]["kept"] == (not failed and p >= 0.05)
+    assert any("b" in v for v in votes) and 5 < sum(r["kept"] for r in got.values()) < len(got)
+
+
+def test_quality_keeps_rows_apart(spark):
+    good = ("this text has words. it goes on for some time, and then it ends. " * 2).strip()
+    rows = [(None, good), (None, good), (None, "### ### ###"), (1, good), (1, "x"), (1, None), (2, "")]
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("_row", F.lit("y")).withColumn("_text", F.lit("z"))
+    got = op7.quality(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"]) for r in got) == sorted((str(d), len((t or "").split())) for d, t in rows)
+    left = op7.reject(docs)
+    assert left.columns == docs.columns and {(r["_row"], r["_text"], r["size"]) for r in left.collect()} <= {("y", "z", "x")}
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == [("1", good), ("None", good), ("None", good)] or left.count() == 0
+
+
 def test_quality_em_finds_bad_kinds():
     patterns = {"gggggggggg": 900, "gggggg-ggg": 60, "bbbggggggg": 30, "gggbbggggg": 25, "bggggggggg": 8, "g" * 9 + "-": 10}
     post, _ = op7.estimate(patterns)
