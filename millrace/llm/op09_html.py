@@ -28,8 +28,9 @@ BLOCKS = frozenset(
 )
 CLOSES_P = BLOCKS - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 SELF_CLOSING = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
-# Elements that never hold the article.
-DROPPED = frozenset("script style noscript template textarea title xmp noembed noframes iframe head nav footer aside form button select option input label svg canvas object embed dialog menu audio video map".split())
+# Elements whose content is no text of the page, and those that never hold the article.
+NO_TEXT = frozenset("script style noscript template textarea title xmp noembed noframes iframe head".split())
+DROPPED = NO_TEXT | frozenset("nav footer aside form button select option input label svg canvas object embed dialog menu audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 # Words in class or id that mark what isn't the article; the second list gives way to a word of the third.
 NEVER = frozenset(
@@ -128,13 +129,13 @@ def unwanted(node: Node) -> bool:
     return tag not in ("article", "main") and any(n & SELDOM for n in names) and not any(n & CONTENT for n in names)
 
 
-def prune(root: Node, by_names: bool = True) -> None:
+def prune(root: Node, by_names: bool = True, elements: frozenset = DROPPED) -> None:
     todo = [root]
     while todo:
         node = todo.pop()
-        node.kids = [k for k in node.kids if isinstance(k, str) or not (unwanted(k) if by_names else k.tag in DROPPED)]
+        node.kids = [k for k in node.kids if isinstance(k, str) or not (unwanted(k) if by_names else k.tag in elements)]
         for k in node.kids:
-            if not isinstance(k, str) and k.tag == "header":
+            if by_names and not isinstance(k, str) and k.tag == "header":
                 k.kids = [h for h in ordered(k) if h.tag in HEADINGS]  # of an article's own header, its title
         todo += [k for k in node.kids if not isinstance(k, str)]
 
@@ -200,9 +201,14 @@ def extract(html: str | None) -> str:
     return _extract(html, True) or _extract(html, False)
 
 
-def _extract(html: str, by_names: bool) -> str:
+def extract_by_score(html: str | None) -> str:
+    """The same by the scores alone: nothing but scripts, styles and the like is taken out before."""
+    return _extract(html or "", False, NO_TEXT)
+
+
+def _extract(html: str, by_names: bool, elements: frozenset = DROPPED) -> str:
     root = parse(html)
-    prune(root, by_names)
+    prune(root, by_names, elements)
     nodes = score(root)
     places = [n for n in nodes if n.tag in ("article", "main", "section", "div", "body", "td", "blockquote", "pre", "center", "html", "#root")]
     best = max(places, key=lambda n: n.score)  # the first of equals
@@ -226,7 +232,9 @@ def _extract(html: str, by_names: bool) -> str:
 def main_text(pages: DataFrame, html: str = "html", **keep: str) -> DataFrame:
     """pages with `text` (main text of html) and `n_chars` (its code points); html itself is dropped.
 
-    A null or empty page gives an empty text. Pages stay rows of their own, whatever they repeat.
+    A null or empty page gives an empty text; a page may be of any length. Pages stay rows of their own, whatever they
+    repeat, and where scores are equal the first container counts. An empty table gives no rows. Columns named text or
+    n_chars are replaced, all others stay.
     """
     small_batches(pages.sparkSession)
     others = [c for c in pages.columns if c not in (html, "text", "n_chars")]

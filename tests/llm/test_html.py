@@ -1,5 +1,6 @@
 import pytest
 
+from millrace.llm import op09_html as html
 from millrace.llm.op09_html import extract, main_text
 
 LONG = "This is a sentence of the story, with a comma or two, and enough words to count as text."
@@ -55,3 +56,27 @@ def test_query_columns(spark):
     assert out.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((r["text"], r["n_chars"]) for r in out.collect()) == [("", 0), ("", 0), (EXPECTED, len(EXPECTED))]
     assert main_text(df.limit(0)).collect() == []
+
+
+def test_scores_alone_find_the_article_of_all_pages():
+    """The lists of elements and names only back up the scores: on the bundled pages they change nothing."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    assert all(html.extract(p) == html.extract_by_score(p) != "" for p in pages)
+
+
+def test_scores_outweigh_links_and_short_blocks():
+    """Plain divs without any telling name: link lists, a teaser box and the article."""
+    article = " ".join(f"Sentence number {i}, with a comma, says something of its own." for i in range(12))
+    menu = "".join(f'<div><a href="/{i}">Entry {i} of a long menu, with words</a></div>' for i in range(40))
+    page = f"<body><div>{menu}</div><div><div><p>{article}</p><p>{article}</p></div><div><a href=x>{article}</a></div></div><div><p>Short, box.</p></div></body>"
+    assert html.extract(page) == html.extract_by_score(page) == f"{article} {article}"
+
+
+def test_rows_and_clashing_columns(spark):
+    rows = [(1, "u", "<p>one</p>", "x", "y"), (1, "u", "<p>one</p>", "x", "y"), (None, None, None, "x", "y"), (2, "v", "", "x", "y")]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, score string"))
+    assert got.columns == ["page_id", "url", "score", "text", "n_chars"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, "u", "y", "one", 3)] * 2 + [(None, None, "y", "", 0), (2, "v", "y", "", 0)]))
+    assert html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, score string").limit(0)).collect() == []
