@@ -20,6 +20,7 @@ def local_session(cores: int | str = 8, app: str = "millrace", **conf: str) -> S
         .config("spark.sql.shuffle.partitions", str(cores if cores != "*" else os.cpu_count() or 8))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("MILLRACE_DRIVER_MEMORY", "8g"))
@@ -50,14 +51,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one the cluster names in spark.checkpoint.dir; only where that
-    is unset (local tests) a temporary one."""
+    """The folder that driver and executors share: the one the cluster names in spark.checkpoint.dir.
+
+    A local session that names none gets a temporary one; elsewhere no folder of one machine will do.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-checkpoints-"))
     return sc.getCheckpointDir()
 
 
+#: Tables written by this process that results may still read.
+_written: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for written tables."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def tidy(spark: SparkSession) -> int:
+    """Delete the tables under all scratch paths so far; results not yet used up can't be read any more. Their number.
+
+    Checkpoints go by themselves where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    gone = 0
+    while _written:
+        at = path(_written.pop())
+        gone += at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return gone

@@ -110,3 +110,37 @@ def test_pipeline_runs(spark):
 
     out = dsl.run_pipeline(dsl.parse(GOOD), gradient_frames(spark).withColumnRenamed("frameno", "number")).collect()
     assert len(out) == 4 and all(len(r["data"]) == 4 * 3 * 3 and max(r["data"]) <= 255 * 255 for r in out)
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    """Only a local session may fall back on a temporary folder; scratch tables go when they are asked to."""
+    import millrace.session as session
+
+    path = session.scratch(spark, "t")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3 and session.tidy(spark) >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session)
+
+
+def test_plans_cut_before_they_shuffle(spark):
+    """The rank of a search is limited before the exchange; a queue's places don't come from a window on its bare key."""
+    from millrace.operators import sched, search
+
+    hits = spark.createDataFrame([("q", "n", 1)], "query string, name string, score long")
+    plan = search.top_k(hits, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("WindowGroupLimit") > plan.rindex("Exchange")
+    jobs = spark.range(1000).selectExpr("id % 3 AS queue", "array(id, 0L) AS ids")
+    plan = sched.in_queue_order(jobs, ["queue"], "ids")._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition(queue" in plan and "_b#" in plan.split("windowspecdefinition(queue")[1].split(",")[1]
