@@ -29,7 +29,8 @@ def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", partitions: int
 
     Contiguous in key order (nulls first); ties go by checksum and size, and rows equal in all three are
     interchangeable. slot counts from 0 in each shard without gaps. A shard can be empty where rows are few or one
-    row is larger than a target. An empty table gives no rows. Other columns of docs are not read.
+    row is larger than a target; a text may be of any length. Rows without a key come first, each by its own text, and so
+    do those that repeat one. An empty table gives no rows. Other columns of docs are not read.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -76,3 +77,27 @@ def op1_sharding(spark, sf_dir: str) -> DataFrame:
     return shard(docs, 8).select(
         "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+#: The checksum is worked out byte by byte from the table that its rule gives.
+ORACLE = r"""
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) r(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+), step AS (
+  SELECT list(c ORDER BY i) AS step FROM bits WHERE k = 8
+), d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
+         xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+                         lambda c, b: xor(c >> 8, step[xor(c & 255, b) + 1])), 4294967295) AS text_crc32
+  FROM documents, step
+), p AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM d
+), s AS (
+  SELECT *, CAST((2 * before + size) * 8 // (2 * total) AS INT) AS shard FROM p
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard
+FROM s
+"""

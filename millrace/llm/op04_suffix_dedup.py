@@ -466,3 +466,31 @@ def remove_repeats(docs: DataFrame, texts: bool = False, block_bytes: int = BLOC
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Every 50-byte string as hexadecimal digits, cut out of pieces of 1,000 bytes.
+ORACLE = r"""
+WITH h AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents
+), part AS (
+  SELECT doc_id, k * 1000 AS base, substr(x, k * 2000 + 1, 2098) AS p FROM h, range(0, (n + 999) // 1000) AS r(k)
+), win AS (
+  SELECT doc_id, base + i AS place, substr(p, 2 * i + 1, 100) AS s FROM part, range(0, 1000) AS r(i) WHERE length(p) >= 2 * i + 100
+), least AS (
+  SELECT s, min(doc_id) AS first FROM win GROUP BY s HAVING count(*) > 1
+), hit AS (
+  SELECT win.doc_id, place, lag(place) OVER (PARTITION BY win.doc_id ORDER BY place) AS before FROM win JOIN least USING (s) WHERE first < win.doc_id
+), run AS (
+  SELECT doc_id, place, sum(CASE WHEN before IS NULL OR place - before > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place) AS run FROM hit
+), span AS (
+  SELECT doc_id, min(place) AS start, max(place) + 50 AS stop FROM run GROUP BY doc_id, run
+), gap AS (
+  SELECT doc_id, start, stop, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS since FROM span
+), cut AS (
+  SELECT h.doc_id, sum(stop - start) AS n_removed, count(*) AS n_spans,
+         string_agg(substr(x, 2 * since + 1, 2 * (start - since)), '' ORDER BY start) || substr(any_value(x), 2 * max(stop) + 1) AS kept
+  FROM gap JOIN h USING (doc_id) GROUP BY h.doc_id
+)
+SELECT h.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM h LEFT JOIN cut USING (doc_id)
+"""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from millrace.llm.op01_sharding import ORACLE as OP1_SQL
 from millrace.llm.op01_sharding import op1_sharding
 from millrace.llm.op02_mixing import op2_mixing
 from millrace.llm.op03_decontaminate import ORACLE as OP3_SQL
 from millrace.llm.op03_decontaminate import op3_decontaminate
+from millrace.llm.op04_suffix_dedup import ORACLE as OP4_SQL
 from millrace.llm.op04_suffix_dedup import op4_suffix_dedup
 from millrace.llm.op05_line_templates import ORACLE as OP5_SQL
 from millrace.llm.op05_line_templates import op5_line_templates
@@ -34,4 +36,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Only where SQL gives the whole result; the others are tested against plain versions in tests/llm."""
-    return {"op3_decontaminate": OP3_SQL, "op5_line_templates": OP5_SQL, "op8_minhash_dedup": OP8_SQL}
+    return {"op1_sharding": OP1_SQL, "op3_decontaminate": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op5_line_templates": OP5_SQL, "op8_minhash_dedup": OP8_SQL}
