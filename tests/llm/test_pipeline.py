@@ -43,3 +43,30 @@ def test_stages_take_an_empty_table(spark, empty, tmp_path):
         assert out.collect() == []
         if i < len(cp.STAGES) - 1:
             assert tuple(out.columns) == cp.COLUMNS
+
+
+def test_stages_take_edge_rows_and_clashing_columns(spark, tmp_path):
+    """Null ids, sources and texts, repeated rows, a very long text, and columns named like those the operators add."""
+    from conftest import SCHEMA, clashing
+
+    good = "This text has enough words. It goes on for a while, and then it ends, as texts do. "
+    long = " ".join(f"{good}{i}" for i in range(3000))
+    texts = [good * 2, None, "", " \n\t", long, good * 2 + "more of it", "short one"]
+    rows = [(d, t, "en", s, len(t or "")) for i, t in enumerate(texts) for d, s in ((None, None), (i, "a"), (i, "a"), (i, "b"))]
+    spark.createDataFrame([(1, "none of this occurs in there at all, not a word"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = clashing(spark.createDataFrame(rows, SCHEMA))
+    for name in ("_row", "_doc", "_text", "_unit", "_group", "_stays"):
+        docs = docs.withColumn(name, docs["lang"])
+    given = {tuple(r) for r in rows}
+    for i, (name, stage) in enumerate(cp.STAGES):
+        df = stage(spark, docs, str(tmp_path))
+        out = df.collect()
+        if i == len(cp.STAGES) - 1:
+            assert len(out) == len(rows) and {r["shard"] for r in out} <= set(range(cp.SHARDS))
+        else:
+            assert {tuple(r) for r in out} <= given and tuple(df.columns) == cp.COLUMNS
+            if name == "decontaminate":
+                assert len(out) == len(rows)
+            if name == "near_dedup":
+                kept = [r["text"] for r in out]
+                assert kept.count(long) == 1 and kept.count(good * 2) + kept.count(good * 2 + "more of it") == 1
