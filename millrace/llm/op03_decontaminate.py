@@ -2,7 +2,7 @@
 
 Every window of eight consecutive words of a benchmark item (or the whole of a shorter one) becomes a pattern over
 normalised text: ASCII letters lowered, words being runs of letters, digits and non-ASCII characters. The automaton's
-symbols are words, so it has eight states for each word of the benchmark at most. A document is normalised the same way and run
+symbols are words, written as one to three characters each. A document is normalised the same way and run
 through the automaton once. Normalising keeps one byte for one byte, so matches are mapped back to places in the original.
 """
 
@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from millrace.llm._common import cut, small_batches, stash
 
 WINDOW = 8
-#: States of one automaton, about 55 bytes each; a benchmark of more than half a million words is scanned for in several passes.
+#: States of one automaton, about 55 bytes each; a benchmark of more than 170,000 words is scanned for in several passes.
 STATES = 1 << 22
+#: A word is written as so many characters at most, each with BASE values: the automaton looks its branches through one by one.
+DIGITS, BASE = 3, 128
 MIN_ITEMS = 2
 
 #: Byte map: A-Z to a-z, other ASCII except digits and letters to a space; bytes of other characters stay.
@@ -54,7 +56,7 @@ def slices_of(benchmark: DataFrame, states: int) -> Iterator[list[Item]]:
 
     An item that is larger than what is left of a slice goes on in the next one, seven words earlier, so no window is lost.
     """
-    most = max(WINDOW, states // WINDOW)  # words
+    most = max(WINDOW, states // (WINDOW * DIGITS))  # words
     held: list[Item] = []
     left = most
     for item, text in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).toLocalIterator():
@@ -79,10 +81,15 @@ class Scanner:
         import ahocorasick
 
         found = patterns_of(items)
-        self.number = {w: i for i, w in enumerate({w for p in found for w in p}, 1)}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        vocabulary = sorted({w for p in found for w in p})
+        self.digits = next((k for k in range(1, DIGITS + 1) if BASE**k >= len(vocabulary)), DIGITS)
+        # A digit's place shows in its character, so a match starts and ends with whole words. The last place has no bound.
+        place = lambda i, d: chr(256 + BASE * d + (i // BASE**d % BASE if d < self.digits - 1 else i // BASE**d))
+        self.code = {w: "".join(place(i, d) for d in range(self.digits)) for i, w in enumerate(vocabulary)}
+        self.unknown = "\x00" * self.digits
+        self.automaton = ahocorasick.Automaton()
         for pattern, owners in found.items():
-            self.automaton.add_word(tuple(map(self.number.__getitem__, pattern)), (len(pattern), owners))
+            self.automaton.add_word("".join(map(self.code.__getitem__, pattern)), (len(pattern), owners))
         if found:
             self.automaton.make_automaton()
 
@@ -91,11 +98,12 @@ class Scanner:
         ranges: list[tuple[int, int]] = []
         items: set[str | None] = set()
         whole = False
-        if not words or not self.number:
+        if not words or not self.code:
             return ranges, items, whole
-        number = self.number.get
-        for end, (count, owners) in self.automaton.iter(tuple([number(w, 0) for w in words])):
-            ranges.append((end + 1 - count, end + 1))
+        code, unknown, k = self.code.get, self.unknown, self.digits
+        for end, (count, owners) in self.automaton.iter("".join([code(w, unknown) for w in words])):
+            last = (end + 1) // k
+            ranges.append((last - count, last))
             items.update(owners)
             whole = whole or count >= WINDOW
         ranges.sort()
