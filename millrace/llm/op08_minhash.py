@@ -3,9 +3,10 @@
 A document is the set of its five-word shingles. Documents with equal sets are one class. Each class gets a
 SuperMinHash signature: an element visits the slots in the order of a random permutation, writing step number plus a
 random fraction where that is smaller; elements stop as soon as no later step can win. Bands of the signature are
-the buckets. In each bucket all classes are first compared with one of them, and links are joined into components by
-union-find. Where a bucket still holds several components, its classes are compared across them, except for pairs that
-can't be alike by the rare shingles they have in common. Every link is confirmed on full sets.
+the buckets. In each bucket all classes are first compared with one of them, then a few times with another one drawn at
+random, and links are joined into components by union-find. Where a bucket still holds several components, its classes
+are compared across them, except for pairs that can't be alike by the rare shingles they have in common. Every link is
+confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ PERCENT = 85
 #: 26 bands of 5: a pair at a similarity of 0.85 shares no band with probability 2.4e-7.
 BANDS, ROWS = 26, 5
 SLOTS = BANDS * ROWS
+#: Rounds in which what is apart in a bucket meets a centre drawn at random, before the exact comparison.
+DRAWS = 3
 #: An element with a 256th of all front rows is hot; there are 256 at most.
 HOT = 256
 #: Sets of one element that are paired in one task.
@@ -194,8 +197,8 @@ def across(still: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(np.concatenate(elements))], names=["node", "n", "component", "element"])
 
     spread_rows = rows.select("node", "n_shingles", "component", "shingles").mapInArrow(spread, "node long, n long, component long, element long")
-    # Elements of one set only can't be common; they count as the front of their set.
-    shared = spread_rows.groupBy("element").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    # Elements that one component alone has can't be common to two; they count as the front of their sets.
+    shared = spread_rows.groupBy("element").agg(F.count(F.lit(1)).alias("sets"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("element", "sets")
     front = (
         spread_rows.join(shared, "element")
         .groupBy("node", "n", "component")
@@ -221,6 +224,13 @@ def across(still: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
+def apart_in(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """band, node, n_shingles and component of the buckets that hold more than one component."""
+    placed = buckets.join(found, "node", "left").select("band", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+    return placed.join(mixed, "band", "left_semi")
+
+
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs.
 
@@ -251,15 +261,27 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     texts = docs.select("doc_id", "text").join(involved.select("doc_id").distinct(), "doc_id", "left_semi")
     # Grouped by the digest too, which is how the rows lie after the join.
     sets = cut(sets_of(texts).join(involved, ["d1", "d2"]).groupBy("d1", "d2", "node").agg(F.first("shingles").alias("shingles")).select("node", "shingles"))
-    links = cut(confirm(star, sets, percent))
+    links, tested = cut(confirm(star, sets, percent)), star
     found = components(links)
 
-    # What is still apart in a bucket.
-    placed = buckets.join(found, "node", "left").select("band", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    still = placed.join(mixed, "band", "left_semi").select("node", "n_shingles", "component").distinct()
-    more = across(still, sets, percent).join(star, ["a", "b"], "left_anti")
-    late = cut(confirm(more, sets, percent))
+    # What is still apart in a bucket meets other centres of it, drawn anew each round: a class that is like some of a
+    # component finds one of them in one of its buckets mostly, and need not be compared with all.
+    for draw in range(DRAWS):
+        placed = apart_in(buckets, found)
+        centres = placed.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(draw)), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))).alias("c")).select("band", "c.*")
+        drawn = placed.join(centres, "band").where((F.col("component") != F.col("ca")) & sized(F.col("na"), F.col("n_shingles")))
+        drawn = drawn.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        drawn = cut(drawn)
+        more = cut(confirm(drawn, sets, percent))
+        tested = tested.unionByName(drawn)
+        if not more.limit(1).collect():
+            break
+        links = links.unionByName(more)
+        found = components(links)
+
+    # The rest, exactly.
+    still = apart_in(buckets, found).select("node", "n_shingles", "component").distinct()
+    late = cut(confirm(across(still, sets, percent).join(tested, ["a", "b"], "left_anti"), sets, percent))
     if late.limit(1).collect():
         found = components(links.unionByName(late))
 
@@ -281,7 +303,8 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     member = cut(grouped.groupBy(F.col("doc_id").alias("_row")).agg(F.min("component_id").alias("_group"), F.count(F.lit(1)).alias("_rows")))
     named = member.select("_row", "_group").join(keyed.select("_row", "doc_id").distinct(), "_row")
     stays = named.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_stays"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    gone = named.join(stays, "_group").where(F.col("_row") != F.col("_stays._row")).select("_row")
+    stays = stash(stays.select("_group", F.col("_stays._row").alias("_stays"), "_n"), "stays")
+    gone = hot_join(named, stays, "_group", stays.where(F.col("_n") * HOT >= member.count())).where(F.col("_row") != F.col("_stays")).select("_row")
     left = keyed.join(gone, "_row", "left_anti")
     again = member.where("_rows > 1").select("_row")
     if again.limit(1).collect():

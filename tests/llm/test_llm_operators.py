@@ -140,13 +140,13 @@ def test_decontamination(docs, pairs, spark, empty):
     items = [(1, long), (2, " ".join(long.split()[3:20]).upper()), (3, "one"), (4, None), (5, " ,, "), (6, "zzz yyy"), (10, long), (7, texts[0])]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     expected = brute.contamination(pairs, items)
-    for limit in (op3.STATES, 400, 100):
+    for limit in (op3.STATES, 1200, 300):
         got = op3.find_contamination(clashing(docs), bench, limit)
         found = {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), len(r["items"]) >= 2) for r in got.collect()}
         assert found == expected
     assert any(v[4] for v in expected.values())
-    spans = {limit: {r["doc_id"]: r["spans"] for r in op3.find_contamination(docs, bench, limit).collect()} for limit in (op3.STATES, 100)}
-    assert spans[op3.STATES] == spans[100]
+    spans = {limit: {r["doc_id"]: r["spans"] for r in op3.find_contamination(docs, bench, limit).collect()} for limit in (op3.STATES, 300)}
+    assert spans[op3.STATES] == spans[300]
     for r in op3.find_contamination(docs, bench).collect():
         text = texts[r["doc_id"]]
         words = [w for s in r["spans"] for w in op3.words_of(text[s["start"] : s["end"]].encode())]

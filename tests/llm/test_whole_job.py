@@ -13,7 +13,7 @@ def test_decontamination_in_slices_keeps_rows_apart(spark):
     said = lambda limit: sorted(str((r["doc_id"], r["n_words"], r["n_hit"], r["items"])) for r in op3.find_contamination(docs, bench, limit).collect())
     none, one, two = (20, 0, []), (20, 20, ["1"]), (20, 20, ["2", "3"])
     expected = [(1, *one), (1, *two), (None, *one), (None, *two), (None, *none), (1, *one), (2, 0, 0, []), (None, 0, 0, [])]
-    assert said(op3.STATES) == said(64) == said(100) == said(200) == sorted(map(str, expected))
+    assert said(op3.STATES) == said(200) == said(300) == said(600) == sorted(map(str, expected))
 
 
 def test_decontamination_of_nameless_items_and_clashing_columns(spark):
@@ -21,7 +21,7 @@ def test_decontamination_of_nameless_items_and_clashing_columns(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(20)) for c in "ab")
     docs = spark.createDataFrame([(1, f"{a} {b}", "x", "y"), (2, a, "x", "y"), (3, "clean words", "x", "y"), (4, None, "x", "y")], "doc_id long, text string, _doc string, items string")
     bench = spark.createDataFrame([(None, a), (7, b), (8, None), (9, "")], "item_id long, text string")
-    for limit in (op3.STATES, 64):
+    for limit in (op3.STATES, 192):
         got = {r["doc_id"]: r["items"] for r in op3.find_contamination(docs, bench, limit).collect()}
         assert got == {1: ["7", None], 2: [None], 3: [], 4: []}
         left = op3.drop_contaminated(docs, bench, limit)
@@ -60,5 +60,5 @@ def test_one_short_item_is_no_leak(spark, tmp_path):
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = rows_of(spark, [(1, "spring in Paris"), (2, "Paris, forty two"), (3, f"so {long}"), (4, "two three four five six seven eight"), (5, "two three four five six seven eight nine")])
     assert sorted(r["doc_id"] for r in cp.decontaminate(spark, docs, str(tmp_path)).collect()) == [1, 4]
-    for limit in (op3.STATES, 64, 100):
+    for limit in (op3.STATES, 192, 300):
         assert {r["doc_id"] for r in op3.find_contamination(docs, bench, limit).where("whole").collect()} == {3, 5}
