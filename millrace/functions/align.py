@@ -139,3 +139,36 @@ def lz78_count(s: str) -> int:
         else:
             node = down
     return n + (node != 0)
+
+
+def column_maxima(rows: int, columns: int, value) -> list[int]:
+    """For each column the first row with its largest value, of a totally monotone matrix: the row never moves back from
+    column to column.
+
+    Only as many rows as there are columns can win, which one pass over a stack finds; every other column is solved by the
+    same means, and the ones between look only at the rows between their neighbours'. Linear in rows and columns.
+    """
+    best = [0] * columns
+
+    def solve(rs: list[int], cs: range) -> None:
+        if not cs:
+            return
+        kept: list[int] = []
+        for r in rs:
+            while kept and value(kept[-1], cs[len(kept) - 1]) < value(r, cs[len(kept) - 1]):
+                kept.pop()
+            if len(kept) < len(cs):
+                kept.append(r)
+        solve(kept, cs[1::2])
+        at = 0
+        for i in range(0, len(cs), 2):
+            last = kept[-1] if i + 1 >= len(cs) else best[cs[i + 1]]
+            best[cs[i]] = kept[at]
+            while kept[at] != last:
+                at += 1
+                if value(kept[at], cs[i]) > value(best[cs[i]], cs[i]):
+                    best[cs[i]] = kept[at]
+
+    if rows:
+        solve(list(range(rows)), range(columns))
+    return best

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.catalog import query
-from millrace.functions.align import ALGORITHMS, Scheme, align, basic_scheme, lz78_count, matrix_scheme, scores
+from millrace.functions.align import ALGORITHMS, Scheme, align, basic_scheme, column_maxima, lz78_count, matrix_scheme, scores
 from millrace.session import table
 
 #: Bytes of queries that go to the executors at once; larger query sets go block by block.
@@ -306,3 +306,34 @@ def q_column_maxima(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding")[0].cast("double").alias("v"))
     best = e.groupBy("label").agg(F.max(F.struct("v", (-F.col("vec_id")).alias("n"))).alias("b"))
     return best.select("label", (-F.col("b.n")).alias("row"), F.round("b.v", 6).alias("most"))
+
+
+def nearest_components(df: DataFrame, key: str, vector: str, points: list[float]) -> DataFrame:
+    """key and, for each point, the nearest component of the row's vector (the smaller of two).
+
+    Minus the squared distances of sorted components and sorted points are a totally monotone matrix, so a row costs as
+    much as its components and the points, not their product. Rows stay where they are.
+    """
+    kind = dict(df.dtypes)[key]
+    at = sorted(points)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for v in batch.column("v").to_pylist():
+                own = sorted(x for x in v or [] if x is not None)
+                found = column_maxima(len(own), len(at), lambda r, c, own=own: -((own[r] - at[c]) ** 2)) if own else []
+                out.append([own[r] for r in found])
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.list_(pa.float64()))], names=[key, "nearest"])
+
+    return df.select(key, F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, f"`{key}` {kind}, nearest array<double>")
+
+
+@query(
+    "monotone_maxima",
+    """WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings), p AS (SELECT i::INT AS place, CAST((i - 8) AS DOUBLE) / 4 AS y FROM range(17) r(i))
+       SELECT vec_id, place, round(x, 9) AS nearest FROM v, p QUALIFY row_number() OVER (PARTITION BY vec_id, place ORDER BY (x - y) * (x - y), x) = 1""",
+)
+def q_monotone_maxima(spark, sf_dir):
+    found = nearest_components(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", [(i - 8) / 4 for i in range(17)])
+    return found.select("vec_id", F.posexplode("nearest").alias("place", "x")).select("vec_id", "place", F.round("x", 9).alias("nearest"))

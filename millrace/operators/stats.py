@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -256,3 +257,75 @@ def q_backlog_window(spark, sf_dir):
     step = F.when(F.col("event_type").isin("signup", "view"), 1).otherwise(-1)
     run = with_running_sum(table(spark, sf_dir, "events").withColumn("step", step), ["user_id"], day_bucket("ts"), ["ts", "event_id"], "step", "backlog")
     return run.groupBy("user_id").agg(F.max("backlog").alias("most"), F.min("backlog").alias("least"), F.count(F.when(F.col("backlog") > 3, 1)).alias("over_limit"))
+
+
+def cache_use(log: DataFrame, owner: str, order: list[str], target: str, keep: int) -> DataFrame:
+    """owner, uses, hits, misses, evicted and held: a least-recently-used cache of each owner, replayed over its log.
+
+    When a target comes in, the one used longest ago goes if over `keep` are held and it wasn't among the last `keep` uses.
+    What is held depends on all uses before, so an owner's log is replayed in one place, in batches; what is kept in
+    between is the cache alone. Null targets are a target like others.
+    """
+    kinds = dict(log.dtypes)
+    schema = f"`{owner}` {kinds[owner]}, uses long, hits long, misses long, evicted long, held long"
+
+    def run(batches):
+        # Owners come one after another, each in its order; a batch may hold several and an owner several batches.
+        name, state, kind = None, None, None
+        for batch in batches:
+            out, kind = [], batch.schema.field(owner).type
+            for o, t in zip(batch.column(owner).to_pylist(), batch.column("_target").to_pylist(), strict=True):
+                if state is None or o != name:
+                    if state is not None:
+                        out.append(state.row(name))
+                    name, state = o, _Cache(keep)
+                state.use(t)
+            yield _cache_rows(out, kind, owner)
+        if state is not None:
+            yield _cache_rows([state.row(name)], kind, owner)
+
+    ordered = log.select(owner, *order, F.col(target).alias("_target")).repartition(owner).sortWithinPartitions(owner, *order)
+    return ordered.select(owner, "_target").mapInArrow(run, schema)
+
+
+class _Cache:
+    def __init__(self, keep: int):
+        self.keep, self.held = keep, {}
+        self.uses = self.hits = self.evicted = 0
+
+    def use(self, t) -> None:
+        self.uses += 1
+        known = self.held.pop(t, None)
+        self.held[t] = self.uses
+        if known is not None:
+            self.hits += 1
+            return
+        eldest = next(iter(self.held))
+        if len(self.held) > self.keep and self.held[eldest] + self.keep < self.uses:
+            del self.held[eldest]
+            self.evicted += 1
+
+    def row(self, name) -> tuple:
+        return name, self.uses, self.hits, self.uses - self.hits, self.evicted, len(self.held)
+
+
+def _cache_rows(rows: list[tuple], kind: pa.DataType, owner: str) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, *[pa.int64()] * 5), strict=True)], names=[owner, "uses", "hits", "misses", "evicted", "held"])
+
+
+@query(
+    "connection_cache",
+    """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_id % 13 AS d FROM events),
+       r AS (SELECT DISTINCT user_id, 0::BIGINT AS i, CAST([] AS STRUCT(d BIGINT, used BIGINT)[]) AS held, 0::BIGINT AS hits, 0::BIGINT AS evicted FROM events
+         UNION ALL
+         SELECT user_id, i, CASE WHEN goes THEN held[2:] ELSE held END, hits + CASE WHEN hit THEN 1 ELSE 0 END, evicted + CASE WHEN goes THEN 1 ELSE 0 END FROM (
+           SELECT *, NOT hit AND len(held) > 5 AND held[1].used + 5 < i AS goes FROM (
+             SELECT e.user_id, e.i, list_append(list_filter(r.held, lambda x: x.d <> e.d), {'d': e.d, 'used': e.i}) AS held, len(list_filter(r.held, lambda x: x.d = e.d)) > 0 AS hit, r.hits, r.evicted
+             FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)))
+       SELECT user_id, i AS uses, hits, i - hits AS misses, evicted, len(held) AS held FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1""",
+)
+def q_connection_cache(spark, sf_dir):
+    """Each user's log of targets through a cache of five."""
+    log = table(spark, sf_dir, "events").withColumn("target", F.pmod("event_id", F.lit(13)))
+    return cache_use(log, "user_id", ["ts", "event_id"], "target", 5)

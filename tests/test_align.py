@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from millrace.functions.align import align, basic_scheme, lz78_count, lz78_phrases, matrix_scheme, scores
@@ -84,3 +85,16 @@ def test_lz78():
         assert "".join(lz78_phrases(w)) == "".join(c for c in w if c.isalpha())
     assert lz78_phrases("aaaa") == ["a", "aa", "a"]
     assert tiles(10, 5, 4) == 6
+
+
+def test_column_maxima_of_monotone_matrices():
+    """Against looking at every row, with ties and more rows than columns and fewer."""
+    from millrace.functions.align import column_maxima
+
+    rng = np.random.default_rng(11)
+    for rows, columns in [(0, 3), (1, 1), (1, 7), (7, 1), (3, 20), (40, 9), (33, 64)]:
+        x, y = np.sort(rng.integers(0, 30, rows)), np.sort(rng.integers(0, 30, columns))
+        value = lambda r, c, x=x, y=y: -((int(x[r]) - int(y[c])) ** 2)
+        expected = [max(range(rows), key=lambda r: (value(r, c), -r)) if rows else 0 for c in range(columns)]  # noqa: B023
+        assert column_maxima(rows, columns, value) == expected
+
