@@ -43,7 +43,7 @@ class _Hashes(dict):
     """Word -> 64-bit hash, remembered for a while."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -286,8 +286,9 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         found = components(links.unionByName(late))
 
     classed = classes.select("d1", "d2", "node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = classed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    classed = classed.join(named, "component").select("d1", "d2", "component_id")
+    classed = stash(classed, "classed")
+    named = stash(classed.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("classes")), "components")
+    classed = hot_join(classed, named, "component", named.where(F.col("classes") * HOT >= classed.count())).select("d1", "d2", "component_id")
     grouped = rest.select("doc_id", "n_shingles", "d1", "d2").join(classed, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     return grouped.unionByName(alone)
 
