@@ -36,7 +36,7 @@ MIN_LENGTH = 8
 MARGIN = 20.0
 #: Bits of a step that the sample never took.
 UNSEEN = 20.0
-#: Ordinary tokens that one batch offers for learning.
+#: Ordinary tokens that one batch offers for learning, those with the smallest marks.
 OFFERED = 64
 _ORDINARY = len(KINDS)
 
@@ -231,28 +231,34 @@ def characters(b: bytes, places: set[int]) -> dict[int, int]:
 
 
 def samples(docs: DataFrame) -> DataFrame:
-    """kind and value of what can be learnt from: values of base matches, and some ordinary tokens of each batch."""
+    """kind, value and mark of what can be learnt from: values of base matches, and ordinary tokens as often as they occur.
+
+    A text offers two of its tokens, a batch OFFERED of what its texts do. mark is a hash of the value, for ordinary tokens
+    one of the text and the token's place, so a word that is common is drawn more often.
+    """
 
     def run(batches):
         for batch in batches:
-            values, plain = set(), set()
+            values, plain = set(), []
             for text in batch.column("text").to_pylist():
                 b = text or b""
                 base = base_matches(b)
-                values.update((k, v) for _, k, _, v in base if len(v) <= LEARN_LENGTH)
-                plain.update(t for _, t in candidates(b, base) if len(t) <= LEARN_LENGTH)
-            chosen = sorted(values) + [(_ORDINARY, t) for t in nsmallest(OFFERED, plain, key=xxhash.xxh3_64_intdigest)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in chosen], pa.int32()), pa.array([v for _, v in chosen], pa.binary())], names=["kind", "value"])
+                values.update((k, v, xxhash.xxh3_64_intdigest(v) >> 1) for _, k, _, v in base if len(v) <= LEARN_LENGTH)
+                tokens = [t for _, t in candidates(b, base)]
+                if tokens:
+                    mark = xxhash.xxh3_64_intdigest(b)
+                    plain += [(_ORDINARY, t, m >> 1) for m in (mark, xxhash.xxh3_64_intdigest(b, 1)) if len(t := tokens[m % len(tokens)]) <= LEARN_LENGTH]
+            chosen = sorted(values) + nsmallest(OFFERED, plain, key=lambda x: x[2])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in chosen], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.int64()))], names=["kind", "value", "mark"])
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "kind int, value binary")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "kind int, value binary, mark long")
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Formats:
     """Automata from at most `sample` different values of each kind; one pass over the texts."""
     small_batches(docs.sparkSession)
     # One value for each remainder survives in every task, so little is shuffled however many values there are.
-    rank = F.struct(F.xxhash64("value").alias("hash"), "value")
-    kept = samples(docs).groupBy("kind", F.pmod(F.xxhash64("value"), F.lit(sample)).alias("slot")).agg(F.min(rank).alias("least"))
+    kept = samples(docs).groupBy("kind", F.pmod("mark", F.lit(sample)).alias("slot")).agg(F.min(F.struct("mark", "value")).alias("least"))
     values: dict[int, list[bytes]] = {}
     for r in kept.select("kind", "least.value").collect():  # at most (kinds + 1) * sample rows
         values.setdefault(r["kind"], []).append(bytes(r["value"]))
