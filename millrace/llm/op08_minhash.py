@@ -267,7 +267,7 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # What is still apart in a bucket meets other centres of it, drawn anew each round: a class that is like some of a
     # component finds one of them in one of its buckets mostly, and need not be compared with all.
     for draw in range(DRAWS):
-        placed = apart_in(buckets, found)
+        placed = cut(apart_in(buckets, found))
         centres = placed.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(draw)), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))).alias("c")).select("band", "c.*")
         drawn = placed.join(centres, "band").where((F.col("component") != F.col("ca")) & sized(F.col("na"), F.col("n_shingles")))
         drawn = drawn.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
