@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.catalog import query
-from millrace.plans.jobs import Atomic, Parallel, Series
+from millrace.plans.jobs import Atomic, Parallel, ParallelInRow, Series
 from millrace.session import table
 
 
@@ -52,19 +52,17 @@ def slices(length, n: int):
        SELECT doc_id, count(*) AS slices, md5(string_agg(part, '' ORDER BY i)) AS merged_md5, max(length(part)) AS widest FROM s GROUP BY doc_id""",
 )
 def q_split_vertical(spark, sf_dir):
-    """Nine slices of each text, each handled by itself, merged in slice order."""
-    child = Atomic(lambda d: d.withColumn("width", F.length("part")))
-    job = Parallel(
-        "doc_id",
+    """Nine slices of each text, each handled by itself, merged in slice order; all of it inside the row."""
+    job = ParallelInRow(
         lambda d: F.transform(slices(F.length("text"), 9), lambda s: F.col("text").substr(s["a"] + 1, s["b"] - s["a"])),
-        child,
-        lambda: [
-            F.count(F.lit(1)).alias("slices"),
-            F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_ix", "part"))), lambda x: x["part"]), "").cast("binary")).alias("merged_md5"),
-            F.max("width").alias("widest"),
+        lambda part, ix: F.struct(part.alias("part"), F.length(part).alias("width")),
+        lambda r: [
+            F.size(r).cast("long").alias("slices"),
+            F.md5(F.array_join(F.transform(r, lambda x: x["part"]), "").cast("binary")).alias("merged_md5"),
+            F.array_max(F.transform(r, lambda x: x["width"])).alias("widest"),
         ],
     )
-    return job.run(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return job.run(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 @query(

@@ -98,6 +98,24 @@ class Parallel(Job):
         return self.child.run(parts).groupBy(self.key).agg(*self.merge())
 
 
+@dataclass(eq=False)
+class ParallelInRow(Job):
+    """Split, work and merge inside a row: for children that are column functions of a part, so that no part is shuffled.
+
+    split: column expression giving an array of part values. child: result column from (part, part_ix), a struct or any
+    value. merge: named columns from the array of results, in the order of the parts.
+    """
+
+    split: Callable[[DataFrame], Column]
+    child: Callable[[Column, Column], Column]
+    merge: Callable[[Column], Iterable[Column]]
+    name: str = ""
+
+    def run(self, df):
+        worked = df.withColumn("_parts", self.split(df)).withColumn("_results", F.transform("_parts", self.child)).drop("_parts")
+        return worked.select(*(c for c in worked.columns if c != "_results"), *self.merge(F.col("_results")))
+
+
 class Alternatives(Job):
     """Equivalent implementations; the cheapest supported one runs, the first of equals."""
 

@@ -144,3 +144,17 @@ def test_plans_cut_before_they_shuffle(spark):
     jobs = spark.range(1000).selectExpr("id % 3 AS queue", "array(id, 0L) AS ids")
     plan = sched.in_queue_order(jobs, ["queue"], "ids")._jdf.queryExecution().analyzed().toString()
     assert "windowspecdefinition(queue" in plan and "_b#" in plan.split("windowspecdefinition(queue")[1].split(",")[1]
+
+
+def test_parallel_in_a_row_moves_nothing(spark):
+    """The same as the shuffled form, without an exchange; rows without parts stay."""
+    from millrace.plans.jobs import ParallelInRow
+
+    df = spark.createDataFrame([(1, [3, 4]), (2, []), (3, [5])], "id int, xs array<int>")
+    job = ParallelInRow(lambda d: F.col("xs"), lambda x, i: x * 10 + i, lambda r: [F.aggregate(r, F.lit(0), lambda a, v: a + v).alias("total"), F.size(r).alias("n")])
+    out = job.run(df)
+    assert sorted((r["id"], r["total"], r["n"]) for r in out.collect()) == [(1, 71, 2), (2, 0, 0), (3, 50, 1)]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    merged = Parallel("id", lambda d: F.col("xs"), Atomic(lambda d: d.withColumn("v", F.col("part") * 10 + F.col("part_ix"))), lambda: [F.sum("v").alias("total"), F.count("v").alias("n")])
+    assert sorted((r["id"], r["total"], r["n"]) for r in merged.run(df).collect()) == [(1, 71, 2), (3, 50, 1)]
+
