@@ -268,8 +268,9 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # component finds one of them in one of its buckets mostly, and need not be compared with all.
     for draw in range(DRAWS):
         placed = cut(apart_in(buckets, found))
-        centres = placed.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(draw)), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))).alias("c")).select("band", "c.*")
-        drawn = placed.join(centres, "band").where((F.col("component") != F.col("ca")) & sized(F.col("na"), F.col("n_shingles")))
+        least = F.min(F.struct(F.xxhash64("node", F.lit(draw)), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na")))
+        centres = stash(placed.groupBy("band").agg(least.alias("c"), F.count(F.lit(1)).alias("rows")).select("band", "rows", "c.a", "c.ca", "c.na"), "centres")
+        drawn = hot_join(placed, centres, "band", centres.where(F.col("rows") * HOT >= placed.count())).where((F.col("component") != F.col("ca")) & sized(F.col("na"), F.col("n_shingles")))
         drawn = drawn.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         drawn = cut(drawn)
         more = cut(confirm(drawn, sets, percent))
