@@ -64,13 +64,13 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> Dat
     return few.unionByName(left.join(keys, key, "left_anti").join(right.join(keys, key, "left_anti"), key))
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Bound what one Arrow batch of whole texts holds, so that long documents don't pile up in a worker.
 
     Spark reads both settings when a query starts, after the operator has returned it, so they stay as set here.
     """
     importable(spark)
-    spark.conf.set(BATCH_BYTES, str(8 << 20))
+    spark.conf.set(BATCH_BYTES, str(size))
     spark.conf.set(BATCH_ROWS, "2000")
 
 

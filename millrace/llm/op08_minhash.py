@@ -34,7 +34,9 @@ HOT = 256
 #: Sets of one element that are paired in one task.
 SALT_SETS = 500
 #: Elements worked on at once: bounds the permutation matrix at this many times SLOTS bytes.
-CHUNK = 1 << 17
+CHUNK = 1 << 16
+#: Bytes of one Arrow batch. The JVM holds a batch outside its heap, in doubling buffers that malloc keeps for each thread.
+BATCH = 2 << 20
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -103,6 +105,26 @@ def superminhash(elements: np.ndarray, owner: np.ndarray, n: int, slots: int = S
     return sig.reshape(n, slots)
 
 
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """Signatures of sets, from at most CHUNK elements at once.
+
+    A larger set is taken in parts: each element writes by itself, so the smallest values of the parts are the set's.
+    """
+    sig = np.full((len(sets), SLOTS), np.iinfo(np.uint64).max, U64)
+    parts = [(i, s[k : k + CHUNK]) for i, s in enumerate(sets) for k in range(0, len(s), CHUNK)]
+    i = 0
+    while i < len(parts):
+        j, held = i, 0
+        while j < len(parts) and held + len(parts[j][1]) <= CHUNK:
+            held += len(parts[j][1])
+            j += 1
+        at, some = map(list, zip(*parts[i:j], strict=True))
+        # Two parts of one set are over CHUNK together, so no set is in here twice.
+        sig[at] = np.minimum(sig[at], superminhash(np.concatenate(some), np.repeat(np.arange(j - i), [len(x) for x in some]), j - i))
+        i = j
+    return sig
+
+
 def bands_of(sig: np.ndarray) -> np.ndarray:
     """One 64-bit hash for each band, the band's number included."""
     n = len(sig)
@@ -115,22 +137,14 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
 
 def sign(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest of the set (two longs) and band hashes of each row."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH)
 
     def run(batches):
         for batch in batches:
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
             sizes = [len(s) for s in sets]
             digest = np.frombuffer(b"".join(map(digest_of, sets)), np.int64).reshape(-1, 2)
-            bands = np.empty((len(sets), BANDS), np.int64)
-            i = 0
-            while i < len(sets):
-                j, held = i, 0
-                while j < len(sets) and (j == i or held + sizes[j] <= CHUNK):
-                    held += sizes[j]
-                    j += 1
-                bands[i:j] = bands_of(superminhash(np.concatenate(sets[i:j]), np.repeat(np.arange(j - i), sizes[i:j]), j - i))
-                i = j
+            bands = bands_of(signatures(sets))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -179,6 +193,17 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def spread(batches):
+    """node, n, component and element of each element of the sets, in batches of CHUNK rows at most."""
+    for batch in batches:
+        elements = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+        sizes = [len(x) for x in elements]
+        ids = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("node", "n_shingles", "component")]
+        rows = pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(np.concatenate(elements))], names=["node", "n", "component", "element"])
+        for i in range(0, rows.num_rows, CHUNK):
+            yield rows.slice(i, CHUNK)
+
+
 def across(still: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that can reach the similarity; none that does is missing.
 
@@ -188,14 +213,6 @@ def across(still: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     the one with most sets isn't joined with itself.
     """
     rows = still.join(sets, "node")
-
-    def spread(batches):
-        for batch in batches:
-            elements = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
-            sizes = [len(x) for x in elements]
-            ids = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("node", "n_shingles", "component")]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(np.concatenate(elements))], names=["node", "n", "component", "element"])
-
     spread_rows = rows.select("node", "n_shingles", "component", "shingles").mapInArrow(spread, "node long, n long, component long, element long")
     # Elements that one component alone has can't be common to two; they count as the front of their sets.
     shared = spread_rows.groupBy("element").agg(F.count(F.lit(1)).alias("sets"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("element", "sets")

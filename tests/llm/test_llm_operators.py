@@ -465,6 +465,27 @@ def test_superminhash_estimates():
     assert (op8.superminhash(np.empty(0, np.uint64), np.empty(0, np.int64), 1) == np.iinfo(np.uint64).max).all()
 
 
+def test_memory_of_signatures_and_fronts_is_bounded(spark, docs, monkeypatch):
+    """Sets of any length are worked on in parts of CHUNK elements, with the signatures they have as a whole."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (3, 0, 700, 64, 65, 1, 128)]
+    whole = np.concatenate([op8.superminhash(s, np.zeros(len(s), np.int64), 1) for s in sets])
+    seen, plain = [], op8.superminhash
+    monkeypatch.setattr(op8, "CHUNK", 64)
+    monkeypatch.setattr(op8, "superminhash", lambda e, owner, n: seen.append(len(e)) or plain(e, owner, n))
+    assert (op8.signatures(sets) == whole).all()
+    assert sum(seen) == sum(map(len, sets)) and max(seen) <= 64
+    assert op8.signatures([]).shape == (0, op8.SLOTS)
+
+    held = pa.RecordBatch.from_pydict({"node": list(range(7)), "n_shingles": [len(s) for s in sets], "component": [9] * 7, "shingles": [s.tobytes() for s in sets]})
+    out = list(op8.spread([held]))
+    assert max(b.num_rows for b in out) <= 64
+    assert [r["element"] for b in out for r in b.to_pylist()] == [int(x) for s in sets for x in s.view(np.int64)]
+
+    op8.sign(docs)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 2 << 20
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(i, i + 1) for i in range(500, 560)] + [(7, 7)]
