@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.catalog import query
@@ -23,14 +23,19 @@ def q_format_seconds(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", fm.format_seconds(s).alias("said"))
 
 
+def _cubed(key: str) -> Column:
+    """The cube of a bigint as a whole decimal; as a bigint it is too large from 2,097,152 on."""
+    k = F.col(key).cast("decimal(19,0)")
+    return (k * k * k).cast("decimal(38,0)")
+
+
 @query(
     "format_bytes",
     """SELECT o_orderkey, CASE WHEN n < 1000 THEN n || ' B' WHEN n < 1000000 THEN (n + 999) // 1000 || ' kB' WHEN n < 1000000000 THEN (n + 999999) // 1000000 || ' MB'
          WHEN n < 1000000000000 THEN (n + 999999999) // 1000000000 || ' GB' ELSE (n + 999999999999) // 1000000000000 || ' TB' END AS said FROM (SELECT o_orderkey, o_orderkey * o_orderkey * o_orderkey AS n FROM orders)""",
 )
 def q_format_bytes(spark, sf_dir):
-    k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", fm.format_bytes(k * k * k).alias("said"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", fm.format_bytes(_cubed("o_orderkey")).alias("said"))
 
 
 def _scaled_sql(base: int, units: tuple[str, ...]) -> str:

@@ -101,3 +101,16 @@ def test_late_and_orphaned_jobs(spark):
     assert labels.late_job(jobs, "ts", "id", datetime(2023, 1, 3), 0.3).collect() == []
     assert [r["id"] for r in labels.exactly_once(jobs.unionByName(jobs), "id").orderBy("id").collect()] == [1, 2]
     assert jobs.select(day_bucket("ts")).distinct().count() == 2
+
+
+def big_orders(spark, tmp_path):
+    keys = [0, 1, 10, 899_999, 2_097_151, 2_097_152, 8_999_999, 1_000_000_007]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    return keys
+
+
+def test_format_bytes_of_large_keys(spark, tmp_path):
+    keys = big_orders(spark, tmp_path)
+    units = [(10**3, 1, "B"), (10**6, 10**3, "kB"), (10**9, 10**6, "MB"), (10**12, 10**9, "GB"), (10**99, 10**12, "TB")]
+    said = {k: next(f"{-(-(k**3) // by)} {unit}" for top, by, unit in units if k**3 < top) for k in keys}
+    assert {r["o_orderkey"]: r["said"] for r in formats.q_format_bytes(spark, str(tmp_path)).collect()} == said
