@@ -51,8 +51,7 @@ def q_size_hr(spark, sf_dir):
 
 @query("rate_hr", _scaled_sql(1000, fm.RATE_UNITS))
 def q_rate_hr(spark, sf_dir):
-    k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", fm.rate_hr(k * k * k * 10 + 3).alias("said"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", fm.rate_hr(_cubed("o_orderkey") * 10 + 3).alias("said"))
 
 
 @query("padded_name", "SELECT o_orderkey, 'frame-' || CASE WHEN length(o_orderkey::VARCHAR) < 4 THEN lpad(o_orderkey::VARCHAR, 4, '0') ELSE o_orderkey::VARCHAR END || '.raw' AS name FROM orders")

@@ -114,3 +114,13 @@ def test_format_bytes_of_large_keys(spark, tmp_path):
     units = [(10**3, 1, "B"), (10**6, 10**3, "kB"), (10**9, 10**6, "MB"), (10**12, 10**9, "GB"), (10**99, 10**12, "TB")]
     said = {k: next(f"{-(-(k**3) // by)} {unit}" for top, by, unit in units if k**3 < top) for k in keys}
     assert {r["o_orderkey"]: r["said"] for r in formats.q_format_bytes(spark, str(tmp_path)).collect()} == said
+
+
+def scaled(n, base, units):
+    i = next((i for i in range(len(units) - 1, 0, -1) if n > base**i), 0)
+    return f"{n / base**i:.2f} {units[i]}"
+
+
+def test_rate_hr_of_large_keys(spark, tmp_path):
+    said = {k: scaled(k**3 * 10 + 3, 1000, fm.RATE_UNITS) for k in big_orders(spark, tmp_path)}
+    assert {r["o_orderkey"]: r["said"] for r in formats.q_rate_hr(spark, str(tmp_path)).collect()} == said
