@@ -45,8 +45,7 @@ def _scaled_sql(base: int, units: tuple[str, ...]) -> str:
 
 @query("size_hr", _scaled_sql(1024, fm.SIZE_UNITS))
 def q_size_hr(spark, sf_dir):
-    k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", fm.size_hr(k * k * k * 10 + 3).alias("said"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", fm.size_hr(_cubed("o_orderkey") * 10 + 3).alias("said"))
 
 
 @query("rate_hr", _scaled_sql(1000, fm.RATE_UNITS))

@@ -124,3 +124,8 @@ def scaled(n, base, units):
 def test_rate_hr_of_large_keys(spark, tmp_path):
     said = {k: scaled(k**3 * 10 + 3, 1000, fm.RATE_UNITS) for k in big_orders(spark, tmp_path)}
     assert {r["o_orderkey"]: r["said"] for r in formats.q_rate_hr(spark, str(tmp_path)).collect()} == said
+
+
+def test_size_hr_of_large_keys(spark, tmp_path):
+    said = {k: scaled(k**3 * 10 + 3, 1024, fm.SIZE_UNITS) for k in big_orders(spark, tmp_path)}
+    assert {r["o_orderkey"]: r["said"] for r in formats.q_size_hr(spark, str(tmp_path)).collect()} == said
