@@ -210,14 +210,26 @@ def ew_log_estimator(samples: DataFrame, key: str, bucket: Column, order: list[s
 
     m <- m + alpha * (ln x - m) over the key's samples, written out as a weighted sum. Buckets of a key's history are
     summed up side by side; each then counts as much as the samples after it leave of it.
+
+    A sample of 0 has a logarithm of minus infinity, a negative one none (NaN), and either carries to the mean; once so old
+    that its weight is 0 an infinite one gives NaN, as the product does in SQL. Null samples only age the others.
     """
     keep = F.lit(1 - alpha)
-    placed = samples.withColumn("_b", bucket)
+    x, endless, nan = F.col(value), float("inf"), float("nan")
+    ln = F.when(x < 0, nan).when(x == 0, -endless).otherwise(F.ln(x))
+    finite = F.abs("_ln") < endless
+    placed = samples.withColumns({"_b": bucket, "_ln": ln})
     age = F.row_number().over(Window.partitionBy(key, "_b").orderBy(*(F.col(c).desc() for c in order))) - 1
-    parts = placed.withColumn("_age", age).groupBy(key, "_b").agg(F.count(F.lit(1)).alias("n"), F.sum(alpha * F.pow(keep, F.col("_age")) * F.ln(value)).alias("s"))
+    term = F.when(finite, alpha * F.pow(keep, F.col("_age")) * F.col("_ln")).when(F.col("_ln").isNotNull(), 0.0)
+    # Of the logarithms that aren't finite the oldest decides, by its age in the whole history.
+    odd = {"_low": -endless, "_high": endless, "_none": nan}
+    oldest = [F.max(F.when(F.col("_ln") == v, F.col("_age"))).alias(c) for c, v in odd.items()]
+    parts = placed.withColumn("_age", age).groupBy(key, "_b").agg(F.count(F.lit(1)).alias("n"), F.sum(term).alias("s"), *oldest)
     # One row for each key and bucket from here on.
     later = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     m = F.sum(F.col("s") * F.pow(keep, F.col("_later"))) + F.pow(keep, F.sum("n")) * start
+    for c, v in odd.items():
+        m = m + F.coalesce(F.sum(alpha * F.pow(keep, F.col(c) + F.col("_later")) * F.lit(v)), F.lit(0.0))
     return parts.withColumn("_later", later).groupBy(key).agg(F.sum("n").alias("samples"), F.round(m, 6).alias("log_mean"), F.round(F.exp(m), 4).alias("likely"))
 
 

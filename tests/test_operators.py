@@ -1,8 +1,10 @@
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import catalog
 from millrace.functions import formats as fm
 from millrace.operators import formats, labels, sched, stats
 from millrace.operators.order import day_bucket, indexed, with_previous, with_running_sum
@@ -129,3 +131,18 @@ def test_rate_hr_of_large_keys(spark, tmp_path):
 def test_size_hr_of_large_keys(spark, tmp_path):
     said = {k: scaled(k**3 * 10 + 3, 1024, fm.SIZE_UNITS) for k in big_orders(spark, tmp_path)}
     assert {r["o_orderkey"]: r["said"] for r in formats.q_size_hr(spark, str(tmp_path)).collect()} == said
+
+
+def test_ew_estimator_of_samples_without_a_logarithm(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    odd = {0: {}, 1: {2: 0.0}, 2: {0: None}, 3: {i: None for i in range(5)}, 4: {i: 0.0 for i in range(5)}, 5: {1: -2.0}, 6: {1: float("inf")}, 7: {1: float("inf"), 3: 0.0}, 8: {4: 0.0}, 9: {2: float("nan")}}
+    rows = [(k * 10 + i, k, at + timedelta(hours=9 * i), values.get(i, 1.5 + i)) for k, values in odd.items() for i in range(5)]
+    # So many samples after it that a zero's weight is 0, within a day and over several.
+    rows += [(1000 + i, 10 + k, at + timedelta(seconds=i * step), 0.0 if i == 0 else 2.0) for k, step in enumerate((1, 60)) for i in range(3500)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, value double")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    said = {r[0]: r for r in con.execute(catalog.oracle_sql()["ew_estimator"]).fetchall()}
+    got = {r["user_id"]: tuple(r[c] for c in ("user_id", "samples", "log_mean", "likely")) for r in catalog.queries()["ew_estimator"](spark, str(tmp_path)).collect()}
+    assert len(got) == 12 and {k: str(r) for k, r in got.items()} == {k: str(r) for k, r in said.items()}
