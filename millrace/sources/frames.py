@@ -20,6 +20,8 @@ from millrace.functions.pixels import bounded, raw_array, raw_bytes
 FRAME = T.StructType(
     [T.StructField(n, T.IntegerType()) for n in ("width", "height", "bits")] + [T.StructField("data", T.ArrayType(T.IntegerType()))]
 )
+#: Bytes that a worker gathers before it hands them back.
+PIECE_BYTES = 4 << 20
 _PPM = re.compile(rb"P6(?:\s+#[^\n]*)*\s+(\d+)(?:\s+#[^\n]*)*\s+(\d+)(?:\s+#[^\n]*)*\s+(\d+)\s")
 
 
@@ -148,8 +150,8 @@ def hex_lines(content: Column, per_line: int = 16) -> Column:
     )
 
 
-def _guarded(fn):
-    """fn over a series of binaries; null in gives null out, and so do bytes that it can't read."""
+def _readable(fn):
+    """fn of one binary; null in gives null out, and so do bytes that it can't read."""
 
     def one(c):
         try:
@@ -157,6 +159,12 @@ def _guarded(fn):
         except (zlib.error, ValueError):
             return None
 
+    return one
+
+
+def _guarded(fn):
+    """The same over a series of binaries."""
+    one = _readable(fn)
     return lambda content: pd.Series([one(c) for c in content])
 
 
@@ -209,6 +217,42 @@ def unpack_tagged(content: Column, tag: Column) -> Column:
     return F.pandas_udf(decode, T.BinaryType())(content, tag)
 
 
+def _added(df: DataFrame, name: str, fn, *columns: str) -> DataFrame:
+    """df with a binary column: what fn makes of a row's columns.
+
+    Batches go to Python bounded by bytes and come back in pieces of PIECE_BYTES or one row, so that a worker never holds
+    more than a batch, a piece and a row, whatever the rows unpack to. A column function gives back a whole batch at once.
+    """
+    bounded(df.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            at, made, size = 0, [], 0
+            for i, row in enumerate(zip(*(batch.column(c) for c in columns), strict=True), 1):
+                made.append(fn(*(v.as_py() for v in row)))
+                size += len(made[-1] or b"")
+                if size >= PIECE_BYTES or i == batch.num_rows:
+                    piece = batch.slice(at, i - at)
+                    yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(made, pa.binary())], [*piece.schema.names, name])
+                    at, made, size = i, [], 0
+
+    return df.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in df.schema), T.StructField(name, T.BinaryType())]))
+
+
+def with_packed(df: DataFrame, content: str, tag: str, name: str) -> DataFrame:
+    """df with each binary packed by the codec that its tag names; as it is for unknown tags."""
+    by_name = {n: _readable(fns[0]) for n, fns in CODECS.items()}
+    return _added(df, name, lambda c, t: by_name[t](c) if t in by_name else c, content, tag)
+
+
+def with_unpacked(df: DataFrame, content: str, name: str, tag: str | None = None, of: str = "deflate") -> DataFrame:
+    """df with each binary unpacked by the codec that its tag names, or all by one; null as in unpack_tagged and unpack."""
+    if tag is None:
+        return _added(df, name, _readable(codec(of)[1]), content)
+    by_name = {n: _readable(fns[1]) for n, fns in CODECS.items()}
+    return _added(df, name, lambda c, t: by_name[t](c) if t in by_name else None, content, tag)
+
+
 def packed_blocks(items: DataFrame, number: str, content: str, per_block: int, name: str = "deflate") -> DataFrame:
     """One packed block for per_block items in the order of their numbers: block, first, items, size_in, packed.
 

@@ -104,8 +104,7 @@ def q_codec(spark, sf_dir):
     """Texts packed by the codec of their tag and unpacked by it; items of an unknown tag are dropped."""
     tag = F.element_at(F.array(*(F.lit(t) for t in ("deflate", "runs", "null", "other"))), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
     docs = table(spark, sf_dir, "documents").select("source", tag.alias("codec"), F.col("text").cast("binary").alias("raw"))
-    packed = docs.withColumn("packed", F.coalesce(*(F.when(F.col("codec") == n, fr.pack("raw", n)) for n in fr.CODECS), F.col("raw")))
-    back = packed.withColumn("back", fr.unpack_tagged(F.col("packed"), F.col("codec")))
+    back = fr.with_unpacked(fr.with_packed(docs, "raw", "codec", "packed"), "packed", "back", "codec")
     return back.groupBy("source", "codec").agg(
         F.count(F.lit(1)).alias("items"), F.count(F.when(F.col("back") == F.col("raw"), 1)).alias("same"), F.count(F.when(F.col("back").isNull(), 1)).alias("dropped"),
         F.sum(F.when(F.col("codec") == "null", F.octet_length("packed")).otherwise(0)).alias("null_size"),

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import catalog
 from millrace.plans.dsl import parse_fileset
 from millrace.sources import files, frames
 
@@ -132,3 +133,22 @@ def test_kernels_against_numpy(spark, width, height):
         assert out["b"] is None
     else:
         assert out["b"] == ((img.reshape(height // 2, 2, width // 2, 2, 3).sum(axis=(1, 3)) + 2) // 4).ravel().tolist()
+
+
+def test_packing_by_tag_hands_back_small_pieces(spark, monkeypatch):
+    monkeypatch.setattr(frames, "PIECE_BYTES", 1000)
+    rows = [(i, t, c) for i, (t, c) in enumerate((t, c) for t in ("deflate", "runs", "null", "other", None) for c in (None, b"", b"a" * 700, bytes(range(256)) * 3, b"ab" * 900))]
+    df = spark.createDataFrame(rows, "n int, t string, c binary").coalesce(1)
+    packed = frames.with_packed(df, "c", "t", "p")
+    got = {r["n"]: (r["p"], r["back"]) for r in frames.with_unpacked(packed, "p", "back", "t").collect()}
+    assert len(got) == len(rows)
+    for n, t, c in rows:
+        p, back = got[n]
+        assert back == (c if t in frames.CODECS else None)
+        assert p == (None if c is None else frames.CODECS[t][0](c) if t in frames.CODECS else c)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 16 << 20
+
+
+def test_codec_roundtrip_packs_a_text_once(spark):
+    plan = catalog.queries()["codec_roundtrip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 2
