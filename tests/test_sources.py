@@ -2,6 +2,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +153,25 @@ def test_packing_by_tag_hands_back_small_pieces(spark, monkeypatch):
 def test_codec_roundtrip_packs_a_text_once(spark):
     plan = catalog.queries()["codec_roundtrip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 2
+
+
+def test_blocks_are_unpacked_in_small_pieces(spark):
+    plan = catalog.queries()["compressed_block_sizes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "MapInArrow" in plan
+
+
+def test_unpacked_batches_are_cut_into_pieces(monkeypatch):
+    monkeypatch.setattr(frames, "PIECE_BYTES", 1 << 20)
+    monkeypatch.setattr(frames, "bounded", lambda spark: spark)
+
+    class Held:
+        sparkSession, schema = None, ()
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = frames.with_unpacked(Held(), "p", "back")
+    batch = pa.RecordBatch.from_pydict({"n": list(range(100)), "p": [zlib.compress(bytes(400_000))] * 100})
+    pieces = list(run([batch]))
+    assert [n for p in pieces for n in p.column("n").to_pylist()] == list(range(100))
+    assert {p.num_rows for p in pieces} <= {3, 1} and all(len(b) == 400_000 for p in pieces for b in p.column("back").to_pylist())
