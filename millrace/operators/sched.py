@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.catalog import query
 from millrace.operators.order import day_bucket, range_bucket, with_previous, with_running_sum
-from millrace.session import table
+from millrace.session import shared_folder, table
 
 INFINITY = float("inf")
 #: Fixed values of the estimates: share of the execution time that a queued job adds; deadline factors.
 ESTIMATE_INACCURACY = 0.1
 ALLOWANCE_FACTOR, RESCHEDULE_FACTOR, LEAST_ALLOWANCE = 3.0, 6.0, 1e-4
+#: Parts of a queue's range of ids; the search for its front begins with one.
+WHOLE = 256
 
 
 def completion_estimate(
@@ -99,14 +102,42 @@ def q_dispatch_step(spark, sf_dir):
     return dispatch(queue, free, "l_returnflag", "ids").select("l_returnflag", F.col("ids")[0].alias("orderkey"))
 
 
+def queue_fronts(queue: DataFrame, free: DataFrame, kind: str, ids: str) -> DataFrame:
+    """Of each type with free workers the jobs up to an id by which there are as many as workers, or all; with free.
+
+    The bound starts at a small share of the type's range of first ids and grows sixteenfold while jobs are too few. It
+    reaches the scan of the queue, so of a long queue little is read, made distinct and put in order.
+    """
+    spark = queue.sparkSession
+    shared_folder(spark)
+    first = F.get(F.col(ids), F.lit(0))
+    ends = queue.groupBy(kind).agg(F.min(first).alias("lo"), F.max(first).alias("hi"))
+    kinds = ends.join(F.broadcast(free.where("free > 0").select(kind, "free")), kind).collect()  # one row a type
+    schema = T.StructType([T.StructField(kind, free.schema[kind].dataType), T.StructField("free", free.schema["free"].dataType), T.StructField("_to", T.LongType())])
+    share = dict.fromkeys((r[kind] for r in kinds), 1)
+    while True:
+        to = {r[kind]: None if r["lo"] is None else r["lo"] + (r["hi"] - r["lo"]) * share[r[kind]] // WHOLE for r in kinds}
+        top = max((t for t in to.values() if t is not None), default=None)
+        bounds = spark.createDataFrame([(r[kind], r["free"], to[r[kind]]) for r in kinds], schema)
+        near = queue.where(first.isNull() | (first <= F.lit(top).cast("long"))).join(F.broadcast(bounds), kind)
+        front = near.where(first.isNull() | (first <= F.col("_to"))).drop("_to").checkpoint()
+        jobs = {r[kind]: r["count"] for r in front.groupBy(kind).count().collect()}
+        short = [r[kind] for r in kinds if jobs.get(r[kind], 0) < r["free"] and share[r[kind]] < WHOLE]
+        if not short:
+            return front
+        for k in short:
+            share[k] = min(WHOLE, 16 * share[k])
+
+
 def dispatch_scan(queue: DataFrame, free: DataFrame, kind: str, ids: str) -> DataFrame:
     """Dispatch until nothing more can be: jobs go in id order, each takes a free worker of its type, and a type that has
     none left is passed over. The jobs that go, with turn (from 1) in the order they go in.
 
-    Types are few (free has a row for each), queues are long, so places in a queue are numbered by ranges of ids.
+    Types are few (free has a row for each), queues are long, so only their fronts are put in order, and places there are
+    numbered by ranges of ids.
     """
-    able = queue.join(F.broadcast(free.where("free > 0").select(kind, "free")), kind)
-    taken = in_queue_order(able, [kind], ids).where(F.col("place") <= F.col("free")).drop("place", "free")
+    able = queue_fronts(queue, free, kind, ids)
+    taken = in_queue_order(able, [kind], ids).where(F.col("place") <= F.col("free")).drop("place", "free").checkpoint()
     return in_queue_order(taken.withColumn("_all", F.lit(0)), ["_all"], ids).withColumnRenamed("place", "turn").drop("_all")
 
 

@@ -146,3 +146,19 @@ def test_ew_estimator_of_samples_without_a_logarithm(spark, tmp_path):
     said = {r[0]: r for r in con.execute(catalog.oracle_sql()["ew_estimator"]).fetchall()}
     got = {r["user_id"]: tuple(r[c] for c in ("user_id", "samples", "log_mean", "likely")) for r in catalog.queries()["ew_estimator"](spark, str(tmp_path)).collect()}
     assert len(got) == 12 and {k: str(r) for k, r in got.items()} == {k: str(r) for k, r in said.items()}
+
+
+def test_dispatch_scan_takes_the_fronts_of_queues(spark, monkeypatch):
+    """Long, short, far-off and empty queues; ids that begin alike; more free workers than jobs."""
+    queues = {"a": [[i // 3, i % 3] for i in range(3000)], "b": [[5, i] for i in range(40)] + [[10**9, 0]], "c": [[10**12 + i] for i in range(5)], "d": [[-7, 1]], "f": [[None, 1], [4], [9]]}
+    workers = {"a": 70, "b": 12, "c": 9, "d": 0, "e": 4, "f": 2}
+    queue = spark.createDataFrame([(k, i) for k, jobs in queues.items() for i in jobs], "k string, ids array<long>")
+    free = spark.createDataFrame(list(workers.items()), "k string, free long")
+    low = lambda ids: [(i is not None, i or 0) for i in ids]
+    goes = [(k, i) for k, jobs in queues.items() for i in sorted(jobs, key=low)[: workers[k]]]
+    got = sched.dispatch_scan(queue, free, "k", "ids").orderBy("turn").collect()
+    assert [r["turn"] for r in got] == list(range(1, len(goes) + 1))
+    assert [(r["k"], r["ids"]) for r in got] == sorted(goes, key=lambda g: low(g[1]))
+    front = sched.queue_fronts(queue, free, "k", "ids")
+    assert front.where("k = 'a'").count() < 300 and front.where("k = 'c'").count() == 5
+    assert sched.dispatch_scan(queue.limit(0), free, "k", "ids").count() == 0
