@@ -86,9 +86,19 @@ def in_queue_order(jobs: DataFrame, queue: list[str], ids: str) -> DataFrame:
 
 
 def dispatch(queue: DataFrame, free: DataFrame, kind: str, ids: str) -> DataFrame:
-    """One dispatch step: of each type with a free worker the first job in id order; blocked types are passed over."""
-    able = queue.join(free.where("free > 0").select(kind).distinct(), kind, "left_semi")
-    return able.groupBy(kind).agg(F.min(ids).alias(ids))
+    """One dispatch step: of each type with a free worker the first job in id order; blocked types are passed over.
+
+    Types are few (free has a row for each). The least array is looked for only among the jobs with the least first id:
+    hash aggregation keeps numbers in place, but for arrays all rows would be sorted.
+    """
+    able = queue.join(F.broadcast(free.where("free > 0").select(kind).distinct()), kind, "left_semi")
+    first = F.get(F.col(ids), F.lit(0))
+    # An array without elements comes before one that begins with null, and that before all others.
+    rank = F.when(F.col(ids).isNull(), None).when(F.size(ids) == 0, 0).when(first.isNull(), 1).otherwise(2)
+    least = able.groupBy(kind).agg(F.min(rank).alias("_rank"), F.min(first).alias("_first"))
+    lead = able.join(F.broadcast(least.withColumnRenamed(kind, "_kind")), F.col(kind).eqNullSafe(F.col("_kind")))
+    lead = lead.where(rank.eqNullSafe(F.col("_rank")) & (first.isNull() | (first == F.col("_first"))))
+    return lead.groupBy(kind).agg(F.min(ids).alias(ids))
 
 
 @query(

@@ -162,3 +162,21 @@ def test_dispatch_scan_takes_the_fronts_of_queues(spark, monkeypatch):
     front = sched.queue_fronts(queue, free, "k", "ids")
     assert front.where("k = 'a'").count() < 300 and front.where("k = 'c'").count() == 5
     assert sched.dispatch_scan(queue.limit(0), free, "k", "ids").count() == 0
+
+
+def test_dispatch_of_one_step(spark):
+    queues = {"a": [[3, 1], [3], [2, 9], [2, 8, 1], [2, 8]], "b": [[1], []], "c": [[1], [None, 2], [None, 1]], "d": [None, [7]], "e": [None], "f": [[1]], "g": [[-5, 2], [-5, 1]]}
+    queue = spark.createDataFrame([(k, i) for k, jobs in queues.items() for i in jobs] * 2, "k string, ids array<long>")
+    free = spark.createDataFrame([(k, 0 if k == "f" else 1) for k in queues], "k string, free long")
+    got = {r["k"]: r["ids"] for r in sched.dispatch(queue, free, "k", "ids").collect()}
+    assert got == {"a": [2, 8], "b": [], "c": [None, 1], "d": [7], "e": None, "g": [-5, 1]}
+
+
+def test_dispatch_sorts_only_what_begins_alike(spark, tmp_path):
+    spark.range(20_000).selectExpr("'A' AS l_returnflag", "id AS l_orderkey", "id % 50 AS l_suppkey").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = catalog.queries()["dispatch_step"](spark, str(tmp_path))
+    assert [tuple(r) for r in df.collect()] == [("A", 0)]
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # Least first ids by hash aggregation; what is sorted has met them in a broadcast join before.
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+    assert "HashAggregate(keys=[l_returnflag" in plan and plan.index("SortAggregate") < plan.index("BroadcastHashJoin")
